@@ -74,21 +74,19 @@ def running_totals(
     return result.drop(*[f"_{n}" for n in totals], *[f"_in_{n}" for n in totals])
 
 
-def top_per_group(
-    df: DataFrame, group: list[str], order: list[Column], spread: list[str], n: int, salts: int = 256
-) -> DataFrame:
-    """First ``n`` rows per group in a given order.
+def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Numbers 0, 1, 2, ... without gaps for rows with a unique key.
 
-    Each group is first cut into ``salts`` parts by the hash of ``spread``; a
-    part keeps its own first ``n`` rows, so the last window sees at most
-    ``n * salts`` rows of a group however large it is.
+    Rows are numbered inside buckets of the key's hash; running totals over the
+    at most 4,096 buckets (three hexadecimal digits) make the numbers global.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    part = Window.partitionBy(*group, "_salt").orderBy(*order)
-    whole = Window.partitionBy(*group).orderBy(*order)
-    few = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n)
-    return (
-        few.withColumn("_rank", F.row_number().over(whole))
-        .where(F.col("_rank") <= n)
-        .drop("_rank", "_salt")
+    hashed = df.withColumn("_part", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
+    sizes = hashed.groupBy("_part").agg(F.count("*").alias("_size"))
+    across = Window.orderBy("_part").rowsBetween(FIRST, -1)
+    offsets = sizes.select(
+        "_part", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_offset")
     )
+    inside = Window.partitionBy("_part").orderBy(key)
+    numbered = hashed.join(F.broadcast(offsets), "_part")
+    number = F.col("_offset") + F.row_number().over(inside) - 1
+    return numbered.withColumn(name, number).drop("_part", "_offset")

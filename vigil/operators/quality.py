@@ -24,11 +24,12 @@ def valid_rows(clean: DataFrame) -> DataFrame:
     )
 
 
-def invalid_sample(clean: DataFrame, n: int = 200) -> DataFrame:
-    """Some messages that lack a time, a channel or a readable alarm flag."""
+def invalid_sample(clean: DataFrame, n: int | None = 200) -> DataFrame:
+    """Messages that lack a time, a channel or a readable alarm flag; all for n=None."""
     channel = F.col("channel_id")
     lost = F.col("ts").isNull() | channel.isNull() | (channel == "") | F.col("alarm").isNull()
-    return clean.where(lost).limit(n)
+    found = clean.where(lost)
+    return found if n is None else found.limit(n)
 
 
 def drop_exact_duplicates(events: DataFrame) -> DataFrame:

@@ -97,10 +97,10 @@ def panel_sql(daily: str, cover: str, changes: str, runs: str, meta: str, normal
         cells.append(f"count(DISTINCT d.day) FILTER (WHERE d.day >= g.t - {w})::INT AS active_days_{w}d")
 
     def full(width: int) -> str:
-        return f"(SELECT count(*) FROM {cover} c WHERE c.observed_hours = 24 AND c.day >= f.t - {width} AND c.day < f.t)"
+        return f"coalesce(k.full_{width}, 0)"
 
     def day_is_full(offset: int) -> str:
-        return f"EXISTS (SELECT 1 FROM {cover} c WHERE c.observed_hours = 24 AND c.day = f.t + {offset})"
+        return f"f.t + {offset} IN (SELECT day FROM {cover} WHERE observed_hours = 24)"
 
     def started(offset: int) -> str:
         return (
@@ -116,13 +116,13 @@ SELECT f.channel_id, f.t::TIMESTAMP AS prediction_time, (f.t + 1)::TIMESTAMP AS
        (f.t + 2)::TIMESTAMP AS target_end, m.sensor_type AS sensor_type_current,
        m.object_id AS object_id_current, m.system_type AS system_type_current,
        f.* EXCLUDE (channel_id, t, feature_max_ts, first_seen, last_seen),
-       round(date_diff('microsecond', f.feature_max_ts, f.t::TIMESTAMP) / 3.6e9, 9) AS hours_since_last_event,
-       round(date_diff('microsecond', f.first_seen, f.t::TIMESTAMP) / 8.64e10, 9) AS history_days,
+       round(date_diff('microsecond', f.feature_max_ts, f.t::TIMESTAMP) / 3.6e9, 6) AS hours_since_last_event,
+       round(date_diff('microsecond', f.first_seen, f.t::TIMESTAMP) / 8.64e10, 6) AS history_days,
        round(alarms_7d / nullif(events_7d, 0), 9) AS alarm_rate_7d,
        round(events_1d / nullif(events_7d / 7.0, 0), 9) AS event_ratio_1d_7d,
        round((events_7d / 7.0) / nullif(events_30d / 30.0, 0), 9) AS event_ratio_7d_30d,
        isodow(f.t)::INT AS dow, month(f.t)::INT AS month,
-       round(sin(isodow(f.t) * 2 * pi() / 7), 9) AS dow_sin, round(cos(isodow(f.t) * 2 * pi() / 7), 9) AS dow_cos,
+       round(sin(isodow(f.t) * 2 * pi() / 7), 6) AS dow_sin, round(cos(isodow(f.t) * 2 * pi() / 7), 6) AS dow_cos,
        {full(30)} AS history_complete_days, {full(1)} AS global_complete_days_1d, {full(7)} AS global_complete_days_7d,
        CASE WHEN {started(1)} THEN 1 WHEN {day_is_full(1)} AND {seen(2)} THEN 0 END AS target_fault_24_48h,
        CASE WHEN {started(0)} THEN 1 WHEN {day_is_full(0)} AND {seen(1)} THEN 0 END AS target_fault_0_24h,
@@ -141,6 +141,11 @@ FROM (SELECT g.channel_id, g.t, {", ".join(cells)}, max(d.last_ts) AS feature_ma
             FROM {daily} GROUP BY channel_id) b ON b.channel_id = g.channel_id
       GROUP BY g.channel_id, g.t) f
 LEFT JOIN {meta} m ON m.channel_key::VARCHAR = f.channel_id
+LEFT JOIN (SELECT x.t, count(*) AS full_30, count(*) FILTER (WHERE c.day >= x.t - 7) AS full_7,
+             count(*) FILTER (WHERE c.day >= x.t - 1) AS full_1
+           FROM (SELECT day + 1 AS t FROM {cover}) x
+           JOIN (SELECT day FROM {cover} WHERE observed_hours = 24) c ON c.day < x.t AND c.day >= x.t - 30
+           GROUP BY x.t) k ON k.t = f.t
 ASOF LEFT JOIN {changes} s ON s.channel_id = f.channel_id AND s.ts < f.t::TIMESTAMP"""
 
 
@@ -168,3 +173,7 @@ part("order_changes_t", changes_sql("order_instants_t"))
 part("order_transitions_t", timeline_sql("order_changes_t"))
 part("order_runs_t", runs_sql("order_transitions_t", B.ORDER_WORDS.fault, B.ORDER_WORDS.normal))
 part("order_coverage_t", coverage_sql("order_journal_t"))
+part(
+    "order_panel_t",
+    panel_sql("order_daily_t", "order_coverage_t", "order_transitions_t", "order_runs_t", "channels_t", "O", 30),
+)

@@ -26,7 +26,12 @@ def _(spark, sf):
     return B.typed_raw(spark, sf)
 
 
-@query("journal_text_source", _TYPED + "typed_raw_t")
+# A text file does not tell an empty field from a missing one.
+@query(
+    "journal_text_source",
+    """SELECT * REPLACE (alarm::INT AS alarm, nonfinite::INT AS nonfinite, nullif(channel_id, '') AS channel_id,
+       nullif(value_raw, '') AS value_raw, nullif(state, '') AS state) FROM typed_raw_t""",
+)
 def _(spark, sf):
     root = scratch_path(spark, "journal")
     names = dict(zip(fv.RAW_COLUMNS, fv.JOURNAL_COLUMNS))

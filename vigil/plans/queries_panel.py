@@ -141,7 +141,7 @@ def _(spark, sf):
     """SELECT channel_id, count(*) AS rows, min(prediction_time) AS first_time, max(prediction_time) AS last_time,
        sum(events_7d)::BIGINT AS events_7d, sum(fault_messages_30d)::BIGINT AS fault_messages_30d,
        sum(active_days_30d)::BIGINT AS active_days_30d, max(numeric_max_30d) AS numeric_max_30d,
-       round(sum(numeric_mean_30d) / 1000, 3) AS numeric_mean_30d, count(last_explicit_state) AS with_state,
+       round(sum(numeric_mean_30d) / 1e6, 4) AS numeric_mean_30d, count(last_explicit_state) AS with_state,
        round(sum(hours_since_last_event), 3) AS hours_since_last_event, count(target_fault_24_48h) AS labelled,
        sum(target_fault_24_48h)::BIGINT AS positives FROM order_panel_t GROUP BY 1""",
 )
@@ -162,7 +162,7 @@ def _(spark, sf):
         F.sum("fault_messages_30d").alias("fault_messages_30d"),
         F.sum("active_days_30d").alias("active_days_30d"),
         F.max("numeric_max_30d").alias("numeric_max_30d"),
-        F.round(F.sum("numeric_mean_30d") / 1000, 3).alias("numeric_mean_30d"),
+        F.round(F.sum("numeric_mean_30d") / 1e6, 4).alias("numeric_mean_30d"),
         F.count("last_explicit_state").alias("with_state"),
         F.round(F.sum("hours_since_last_event"), 3).alias("hours_since_last_event"),
         F.count("target_fault_24_48h").alias("labelled"),
@@ -393,8 +393,8 @@ def _(spark, sf):
 
 @query(
     "model_matrix",
-    """SELECT channel_id, prediction_time, round(numeric_mean_7d, 3)::FLOAT AS numeric_mean_7d,
-       round(alarm_rate_7d, 3)::FLOAT AS alarm_rate_7d, events_7d::FLOAT AS events_7d,
+    """SELECT channel_id, prediction_time, round(numeric_mean_7d, 9)::FLOAT AS numeric_mean_7d,
+       round(alarm_rate_7d, 9)::FLOAT AS alarm_rate_7d, events_7d::FLOAT AS events_7d,
        coalesce(sensor_type_current, '__MISSING__') AS sensor_type_current,
        coalesce(last_explicit_state, '__MISSING__') AS last_explicit_state FROM panel_t""",
 )
@@ -402,7 +402,7 @@ def _(spark, sf):
     panel = rounded(B.panel(spark, sf), ["numeric_mean_7d", "alarm_rate_7d"], 9)
     numbers = ["numeric_mean_7d", "alarm_rate_7d", "events_7d"]
     texts = ["sensor_type_current", "last_explicit_state"]
-    out = EF.model_matrix(rounded(panel, numbers[:2], 3), numbers, texts)
+    out = EF.model_matrix(panel, numbers, texts)
     return out.select("channel_id", "prediction_time", *numbers, *texts)
 
 
@@ -415,8 +415,8 @@ part(
 
 @query(
     "causal_rate",
-    """SELECT r.channel_id, r.prediction_time, round(coalesce(m.pos, 0), 4) AS channel_history_count,
-         round((coalesce(m.pos, 0) + 100 * coalesce(g.rate, 0)) / (coalesce(m.n, 0) + 100), 6) AS channel_history_rate
+    """SELECT r.channel_id, r.prediction_time, coalesce(m.pos, 0)::FLOAT AS channel_history_count,
+         ((coalesce(m.pos, 0) + 100 * coalesce(g.rate, 0)) / (coalesce(m.n, 0) + 100))::FLOAT AS channel_history_rate
        FROM history_t r
        LEFT JOIN (SELECT r.channel_id, r.prediction_time, sum(h.y)::DOUBLE AS pos, count(*) AS n FROM history_t r
                   JOIN history_t h ON h.channel_id = r.channel_id AND h.target_end <= r.prediction_time GROUP BY ALL) m
@@ -430,8 +430,5 @@ def _(spark, sf):
     keys = rows.select("channel_id", "prediction_time", "target_end", label)
     found = CA.causal_rate(keys, keys, label)
     return found.select(
-        "channel_id",
-        "prediction_time",
-        F.round(F.col("channel_history_count").cast("double"), 4).alias("channel_history_count"),
-        F.round(F.col("channel_history_rate").cast("double"), 6).alias("channel_history_rate"),
+        "channel_id", "prediction_time", "channel_history_count", "channel_history_rate"
     )

@@ -6,6 +6,8 @@ from vigil.plans import check_parts  # noqa: F401  (defines the shared SQL)
 from vigil.plans import queries_journal  # noqa: F401
 from vigil.plans import queries_panel  # noqa: F401
 from vigil.plans import queries_splits  # noqa: F401
+from vigil.plans import queries_scores  # noqa: F401
+from vigil.plans import queries_risk  # noqa: F401
 from vigil.plans.registry import QUERIES, Query, oracle
 
 

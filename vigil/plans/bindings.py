@@ -7,6 +7,8 @@ second journal over several years and ``lineitem`` a table of scored rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from vigil import fixed_values as fv
 from vigil.operators import calendar as C
 from vigil.operators import panel as P
 from vigil.operators import states as ST
+from vigil.session import scratch_path
 from vigil.sources import journal as J
+from vigil.sources.tables import write_table
 
 WORDS = C.StateWords(
     fault="error",
@@ -219,7 +223,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel_metadata(channels(spark, sf_dir))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.build(
         daily(spark, sf_dir),
         coverage(spark, sf_dir),
@@ -230,6 +234,31 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PREPARED: dict[tuple[str, str, str], str] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable) -> DataFrame:
+    """Table of a stage that many queries read, written once per application.
+
+    The panel and the episodes are results of their own; what comes after them
+    (splits, evaluation, serving) reads the written tables.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PREPARED:
+        path = scratch_path(spark, name)
+        write_table(build(spark, sf_dir), path)
+        _PREPARED[key] = path
+    return spark.read.parquet(_PREPARED[key])
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir, "panel", build_panel)
+
+
+def fault_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir, "fault_runs", fault_runs)
+
+
 def order_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a sparse journal over several years."""
     return table(spark, sf_dir, "orders").select(

@@ -133,7 +133,7 @@ def _(spark, sf):
 
 @query("feature_panel", PANEL_ROWS + "panel_t")
 def _(spark, sf):
-    return rounded_panel(B.panel(spark, sf))
+    return rounded_panel(B.build_panel(spark, sf))
 
 
 @query(
@@ -236,7 +236,7 @@ part(
 
 def monthly(spark, sf):
     return P.monthly_label(
-        B.panel(spark, sf), B.fault_runs(spark, sf), B.coverage(spark, sf), lead=1, horizon=7
+        B.panel(spark, sf), B.fault_table(spark, sf), B.coverage(spark, sf), lead=1, horizon=7
     )
 
 
@@ -360,7 +360,7 @@ _SINCE = ["hours_since_fault_start", "hours_since_fault_end"]
 @query("episode_features", "SELECT * FROM episode_features_t")
 def _(spark, sf):
     keys = B.panel(spark, sf).select("channel_id", "prediction_time")
-    found = EF.episode_features(keys, B.fault_runs(spark, sf))
+    found = EF.episode_features(keys, B.fault_table(spark, sf))
     return rounded(found, _LOGS + _SINCE, 6)
 
 
@@ -383,7 +383,7 @@ def _ratio_sql() -> str:
 
 @query("ratio_features", _ratio_sql())
 def _(spark, sf):
-    built = EF.episode_features(B.panel(spark, sf), B.fault_runs(spark, sf))
+    built = EF.episode_features(B.panel(spark, sf), B.fault_table(spark, sf))
     names = ratio_feature_names()
     out = EF.ratio_features(built).select("channel_id", "prediction_time", *names)
     hours = ["hours_since_explicit_state", "numeric_range_7d", "numeric_range_30d"]

@@ -77,10 +77,15 @@ def _(spark, sf):
     return rounded(out, ["score"], 9)
 
 
-def predictions(spark, sf):
+def _predictions(spark, sf):
     return K.prediction_table(rows(spark, sf), MODELS, _objects(spark, sf))
 
 
+def predictions(spark, sf):
+    """The stored prediction records, which the views and tickets read."""
+    return B.prepared(spark, sf, "predictions", _predictions)
+
+
 part(
     "predictions_t",
     """SELECT substr(sha256(concat_ws('|', direction, entity_id, strftime(prediction_time, '%Y-%m-%dT%H:%M:%S'), version)), 1, 24) AS id,
@@ -117,7 +122,7 @@ _RECORD = """id, direction, entity_id, object_id, object_name, sensor_type, syst
           USING (entity_id, prediction_time, direction) WHERE NOT has""",
 )
 def _(spark, sf):
-    found = predictions(spark, sf)
+    found = _predictions(spark, sf)
     return found.withColumns(
         {"factor_count": F.size("factors"), "first_factor": F.col("factors")[0]["value"]}
     ).drop("factors")

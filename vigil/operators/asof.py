@@ -18,6 +18,7 @@ def asof_join(
     direction: str = "backward",
     strict: bool = True,
     bucket: str = "day",
+    distinct_times: bool | None = None,
 ) -> DataFrame:
     """Left rows with ``values`` of the nearest right row, NULL where there is none.
 
@@ -27,11 +28,20 @@ def asof_join(
     Both sides are tagged, unioned and ordered inside ``(by, time bucket)``.  A
     left row whose bucket holds no match takes the edge row of the nearest
     bucket that has one, found by a window over one row per bucket.  No key has
-    to fit into one task and no pairs are formed.  With an empty ``by`` the
-    right side is one time line for all rows.
+    to fit into one task and no pairs are formed.
+
+    With ``distinct_times`` the left side is reduced to its distinct keys and
+    times first and the answers are joined back, which bounds a bucket by the
+    times it has instead of the rows.  That is the default for an empty ``by``,
+    where the right side is one time line for all rows.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction: {direction}")
+    if distinct_times if distinct_times is not None else not by:
+        times = left.select(*by, left_ts).distinct()
+        rest = (direction, strict, bucket, False)
+        found = asof_join(times, right, by, left_ts, right_ts, values, *rest)
+        return left.join(found, [*by, left_ts], "left").select(*left.columns, *values)
     backward = direction == "backward"
     names = left.columns
     packed_left = F.struct(*[F.col(f"`{c}`") for c in names])

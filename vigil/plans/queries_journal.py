@@ -505,6 +505,56 @@ def _(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
+@query(
+    "multi_file_source",
+    """SELECT o_orderstatus AS status, 2 * count(*) AS rows, 2 * count(DISTINCT o_custkey) AS channel_copies,
+       min(o_orderdate) AS first_day FROM orders GROUP BY 1""",
+)
+def _(spark, sf):
+    copy = scratch_path(spark, "orders")
+    T.write_table(B.table(spark, sf, "orders"), copy)
+    whole = T.read_many(spark, [f"{sf}/orders.parquet", copy])
+    return whole.groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count("*").alias("rows"),
+        (2 * F.count_distinct("o_custkey")).alias("channel_copies"),
+        F.min("o_orderdate").cast("timestamp_ntz").alias("first_day"),
+    )
+
+
+@query(
+    "time_and_number_functions",
+    """SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, hour(ts)::INT AS hour, isodow(ts)::INT AS dow,
+       round(date_diff('microsecond', ts::DATE::TIMESTAMP, ts) / 3.6e9, 6) AS hours_since_midnight,
+       ts + INTERVAL 24 HOUR AS next_day, ts::DATE::TIMESTAMP AS day, round(ln(1 + value), 9) AS log_value,
+       round(sqrt(abs(value - 50)), 9) AS root, round(sin(2 * pi() * isodow(ts) / 7), 9) AS dow_sin,
+       round(cos(2 * pi() * isodow(ts) / 7), 9) AS dow_cos, round(100 / nullif(floor(value / 10), 0), 9) AS safe_ratio,
+       greatest(value, 25.0) AS at_least, (ts = date_trunc('day', ts))::INT AS midnight FROM events""",
+)
+def _(spark, sf):
+    ts, value = F.col("ts"), F.col("value")
+    dow = F.extract(F.lit("dayofweek_iso"), ts).cast("int")
+    angle = 2 * F.pi() * dow / 7
+    return B.table(spark, sf, "events").select(
+        "event_id",
+        F.year(ts).alias("year"),
+        F.month(ts).alias("month"),
+        F.hour(ts).alias("hour"),
+        dow.alias("dow"),
+        F.round(S.hours_between(ts, F.to_date(ts).cast("timestamp_ntz")), 6).alias(
+            "hours_since_midnight"
+        ),
+        (ts + F.expr("interval 24 hours")).alias("next_day"),
+        F.to_date(ts).alias("day"),
+        F.round(F.log1p(value), 9).alias("log_value"),
+        F.round(F.sqrt(F.abs(value - 50)), 9).alias("root"),
+        F.round(F.sin(angle), 9).alias("dow_sin"),
+        F.round(F.cos(angle), 9).alias("dow_cos"),
+        F.round(S.ratio(F.lit(100.0), F.floor(value / 10).cast("double")), 9).alias("safe_ratio"),
+        F.greatest(value, F.lit(25.0)).alias("at_least"),
+        S.is_midnight(ts).alias("midnight"),
+    )
+
+
 @query("file_inventory")
 def _(spark, sf):
     files = T.file_inventory(spark, [f"{sf}/*.parquet"])

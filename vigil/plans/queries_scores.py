@@ -11,6 +11,7 @@ from vigil.plans import bindings as B
 from vigil.plans.queries_panel import monthly, rounded
 from vigil.plans.queries_splits import yearly
 from vigil.plans.registry import part, query
+from vigil.session import scratch_path
 
 LEVEL = 0.45
 Y, P = "label", "probability"
@@ -409,3 +410,24 @@ def _(spark, sf):
     folds = SP.expanding_folds(rows, (1996, 1997), "1993-01-01")
     scored = M.out_of_fold(folds, (1996, 1997), FEATURES, TARGET)
     return E.ranking_metrics(E.pr_curve(scored, TARGET, "probability", by=["fold"]), ["fold"])
+
+
+@query(
+    "scoring_parity",
+    "SELECT count(*) AS rows, 0.0::DOUBLE AS max_difference, 0::BIGINT AS unmatched FROM lines_t",
+)
+def _(spark, sf):
+    """A stored and reloaded model scores every key like the fitted one."""
+    lines = _model_rows(spark, sf).drop("split")
+    fitted = M.fit(lines, FEATURES, TARGET, "logistic", "sample_weight", iterations=5)
+    path = scratch_path(spark, "model")
+    M.save(spark, fitted, path)
+    key = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    groups = B.table(spark, sf, "lineitem").groupBy(*key).agg(
+        F.count("*").alias("_n"), *[F.max(f).alias(f) for f in FEATURES]
+    )
+    unique = groups.where("_n = 1").drop("_n")
+    left, right = M.probability(unique, fitted), M.probability(unique, M.load(spark, path, FEATURES))
+    gap = M.largest_difference(left, right, key, "probability").withColumn("_k", F.lit(1))
+    rows = left.agg(F.count("*").alias("rows")).withColumn("_k", F.lit(1))
+    return rows.join(gap, "_k").drop("_k")

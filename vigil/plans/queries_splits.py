@@ -605,3 +605,12 @@ def _(spark, sf):
         F.count("*").alias("rows"), F.min("next_start_after_24h").alias("first_start")
     )
 
+
+@query("described_features")
+def _(spark, sf):
+    panel = B.panel(spark, sf)
+    meaning = R.feature_dictionary(spark)
+    measures = [*fv.COUNT_MEASURES, *fv.NUMERIC_MEASURES]
+    names = [f"{m}_{w}d" for m in measures for w in fv.PANEL_WINDOWS]
+    found = R.null_and_constant(panel, names).withColumnRenamed("feature", "column")
+    return meaning.join(found, "column", "left")

@@ -17,6 +17,8 @@ def build_session(app: str = "vigil", master: str | None = None, **settings: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Call sites of single columns cost more than building the plan itself.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **settings,
     }
     builder = SparkSession.builder.appName(app)

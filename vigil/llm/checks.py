@@ -2,4 +2,154 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from vigil.llm import repeats, secrets
+
+#: floor(1024 x) of every vector without nulls and infinities, all pairs of a query and another row.
+_PRODUCTS = """
+WITH numbers AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM numbers q JOIN numbers c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, score
+    FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: Lines and sentences with their places; the first occurrence of each stays.
+_REPEATS = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM docs),
+sentences AS (
+    SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?]) ', '\1' || chr(30), 'g'), chr(10), chr(30)), chr(30)) AS parts
+    FROM docs),
+pieces AS (
+    SELECT doc_id, {repeats.LINE_WORDS} AS least, unnest(parts) AS piece, generate_subscripts(parts, 1) AS place FROM lines
+    UNION ALL
+    SELECT doc_id, {repeats.SENTENCE_WORDS}, unnest(parts), generate_subscripts(parts, 1) FROM sentences),
+placed AS (
+    SELECT doc_id, least, piece, length(piece) AS size,
+           coalesce(sum(length(piece) + 1) OVER (
+               PARTITION BY doc_id, least ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM pieces),
+normal AS (
+    SELECT doc_id, start, start + size AS stop,
+           lower(trim(regexp_replace(piece, '[\x09-\x0D\x20]+', ' ', 'g'), ' ')) AS words, least
+    FROM placed),
+units AS (
+    SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, md5(words) AS digest
+    FROM normal WHERE len(string_split(words, ' ')) >= least),
+firsts AS (
+    SELECT doc_id, digest, arg_min(stop, start * 100000000 - stop) AS first_stop, min(start) AS first_start
+    FROM units GROUP BY ALL),
+owners AS (SELECT digest, min(doc_id) AS owner FROM units GROUP BY ALL),
+lost AS (
+    SELECT DISTINCT u.doc_id, u.start, u.stop
+    FROM units u JOIN firsts f USING (doc_id, digest) JOIN owners o USING (digest)
+    WHERE (u.start >= f.first_stop) OR (u.start = f.first_start AND u.stop = f.first_stop AND u.doc_id <> o.owner)),
+begun AS (
+    SELECT *, CASE WHEN start < max(stop) OVER (
+        PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+    FROM lost),
+numbered AS (
+    SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS span FROM begun),
+spans AS (SELECT doc_id, span, min(start) AS start, max(stop) AS stop FROM numbered GROUP BY ALL),
+kept AS (
+    SELECT d.doc_id, string_agg(substr(d.text, CAST(k.a + 1 AS BIGINT), CAST(k.b - k.a AS BIGINT)), '' ORDER BY k.a) AS text
+    FROM docs d JOIN (
+        SELECT doc_id, coalesce(lag(stop) OVER w, 0) AS a, start AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+        UNION ALL
+        SELECT doc_id, max(stop), 1000000000 FROM spans GROUP BY ALL) k USING (doc_id)
+    GROUP BY ALL),
+told AS (
+    SELECT doc_id, count(*) AS n_removed, CAST(sum(stop - start) AS BIGINT) AS removed_chars,
+           string_agg(start || ':' || stop, ',' ORDER BY start) AS spans
+    FROM spans GROUP BY ALL)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars,
+       coalesce(spans, '') AS spans, md5(coalesce(k.text, d.text)) AS kept_md5
+FROM docs d LEFT JOIN told USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+def _matches(name: str, pattern: str, condition: str, kind: int) -> str:
+    """A table of matches of a pattern with their places."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+{name}_parts AS (
+    SELECT doc_id, string_split_regex(text, '{pattern}') AS before, regexp_extract_all(text, '{pattern}') AS found FROM docs),
+{name}_rows AS (
+    SELECT doc_id, unnest(found) AS found, generate_subscripts(found, 1) AS n, before, found AS every FROM {name}_parts),
+{name} AS (
+    SELECT doc_id, {kind} AS kind, found, start, start + length(found) AS stop
+    FROM (SELECT *, CAST(list_sum(list_transform(before[1:n], lambda x: length(x)))
+                       + coalesce(list_sum(list_transform(every[1:n - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+          FROM {name}_rows)
+    WHERE {condition})"""
+
+
+def _windows(number: int) -> str:
+    """Joined windows of one character class over the candidates that no entry of the allow-list suppresses."""
+    kind = secrets.CLASSES[number]
+    name, size = f"windows{number}", secrets.WINDOW
+    alphabet = kind.alphabet.replace("-", "") + ("-" if "-" in kind.alphabet else "")
+    return f"""
+{name} AS (
+    SELECT doc_id, start + i AS start, start + i + {size} AS stop, start AS run, substr(found, CAST(i + 1 AS BIGINT), {size}) AS part
+    FROM (SELECT *, unnest(generate_series(0, length(found) - {size})) AS i FROM candidates)),
+{name}_hot AS (
+    SELECT doc_id, run, start, stop FROM {name}
+    WHERE regexp_full_match(part, '[{alphabet}]+')
+      AND list_sum(list_transform(map_values(list_aggregate(string_split(part, ''), 'histogram')),
+                                  lambda c: ({secrets.WEIGHTS!r})[CAST(c + 1 AS BIGINT)])) <= {secrets.most(kind.least)}),
+{name}_begun AS (
+    SELECT *, CASE WHEN start <= lag(stop) OVER (PARTITION BY doc_id, run ORDER BY start) THEN 0 ELSE 1 END AS new
+    FROM {name}_hot),
+{name}_numbered AS (
+    SELECT *, sum(new) OVER (PARTITION BY doc_id, run ORDER BY start ROWS UNBOUNDED PRECEDING) AS span FROM {name}_begun),
+{name}_spans AS (
+    SELECT doc_id, {len(secrets.BASE) + number} AS kind, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop
+    FROM {name}_numbered GROUP BY doc_id, run, span)"""
+
+
+def _secrets() -> str:
+    (_, assign, value, least), (_, access, _, long), (_, hexes, _, _) = secrets.BASE
+    value = value.replace("'", "''")
+    suppressed = " OR ".join(f"regexp_matches(found, '{p}')" for p in secrets.ALLOWED)
+    kinds = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    tables = [
+        "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
+        _matches("assign", assign, f"length(regexp_extract(found, '{value}', 1)) >= {least}", 0),
+        _matches("access", access, f"length(found) >= {long}", 1),
+        _matches("hexes", hexes, "true", 2),
+        _matches("candidates", secrets.CANDIDATE, f"NOT ({suppressed})", 9),
+        "base AS (SELECT * EXCLUDE (found) FROM (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes))",
+        *[_windows(i) for i in range(len(secrets.CLASSES))],
+        "added AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM windows{i}_spans" for i in range(len(secrets.CLASSES)))
+        + ") a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b.stop >= a.stop))",
+        f"""written AS (
+    SELECT doc_id, kind, start, stop, ([{kinds}])[kind + 1] || ':' || start || ':' || stop AS span
+    FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
+told AS (
+    SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+           count(*) FILTER (WHERE kind = 2) AS n_hex,
+           string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind <= 2) AS base,
+           string_agg(span, ',' ORDER BY start, kind, stop) AS spans
+    FROM written GROUP BY ALL)""",
+    ]
+    return f"""WITH {", ".join(tables)}
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN told USING (doc_id)"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_secrets": _secrets(),
+    "op9_pivot_search": _PRODUCTS,
+    "op10_repeats": _REPEATS,
+}

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vigil.llm import graphs, simhash
 
@@ -107,7 +108,7 @@ def test_nulls_repeats_and_empty_tables(spark, documents):
     rows = simhash.near_duplicates(docs, ["doc_id"]).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 7), (3, 3), (7, 7), (7, 7)]
     assert simhash.near_duplicates(documents([]), ["doc_id"]).collect() == []
-    kept = simhash.keep_one(docs).collect()
+    kept = simhash.keep_one(docs.withColumns({"_own": F.lit(1), "_of": F.lit(2), "component": F.lit(3)})).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 7]
     assert simhash.keep_one(documents([])).collect() == []
     with pytest.raises(ValueError):

@@ -108,9 +108,21 @@ def rewrite_texts(df: DataFrame, text: str, spans: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def attach(df: DataFrame, doc_id: str, text: str, found: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` and ``columns`` of ``found`` (with ``_id``, ``_key``: the id and the hash of the text), null without."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    keyed = df.withColumn("_own", F.xxhash64(text))
-    both = keyed.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    return both.select(*kept, *columns)
+    kept = [c for c in df.columns if c not in columns]
+    own, of, key = unused(df, "_own", "_of", "_key")
+    keyed = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(text).alias(own))
+    other = found.select(F.col("_id").alias(of), F.col("_key").alias(key), *columns)
+    both = keyed.join(other, F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(key)), "left")
+    return both.select(*[F.col(f"`{c}`") for c in kept], *columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigil.llm.common import row_hash
+from vigil.llm.common import row_hash, unused
 from vigil.session import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -158,13 +158,16 @@ def _decided(rows: DataFrame, keys: list[str], number: int) -> DataFrame:
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
-    taken = copies(df, [doc_id], source, text).groupBy(F.col(doc_id).alias("_id"), F.col("_hash").alias("_of"))
-    taken = materialize(taken.agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
-    keyed = df.withColumn("_hash", row_hash(df))
-    both = keyed.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
-    single = both.where("_rows = 1").select(*df.columns, "_copies")
+    own, of, hashed, times, alike, one = unused(df, "_own", "_of", "_hash", "_copies", "_rows", "_one")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    decided = copies(df, [doc_id], source, text)
+    taken = decided.groupBy(F.col(doc_id).alias(of), F.col("_hash").alias(hashed))
+    taken = materialize(taken.agg(F.sum("_copies").alias(times), F.count(F.lit(1)).alias(alike)), "copies")
+    keyed = df.withColumn(own, row_hash(df))
+    both = keyed.join(taken, F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(hashed)))
+    single = both.where(F.col(alike) == 1).select(*columns, times)
     # rows alike in all columns are one row here, taken as often as all of them together
-    alike = both.where("_rows > 1").select(*df.columns, "_copies").distinct()
-    wanted = single.union(alike).where("_copies > 0")
-    repeated = wanted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*df.columns)
+    several = both.where(F.col(alike) > 1).select(*columns, times).distinct()
+    wanted = single.union(several).where(F.col(times) > 0)
+    repeated = wanted.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return repeated.select(*columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigil.llm.common import map_texts, row_hash
+from vigil.llm.common import map_texts, row_hash, unused
 from vigil.llm.graphs import components
 from vigil.session import materialize
 
@@ -227,10 +227,13 @@ def near_duplicates(
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row of each component: the smallest id (null last), then the smallest hash of the row."""
-    keyed = df.withColumn("_row", row_hash(df))
-    found = near_duplicates(keyed.select(doc_id, "_row", text), [doc_id, "_row"], doc_id, text, words, bits)
-    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    first = found.groupBy("component").agg(F.min(place).alias("first")).select("first.id", F.col("first.row").alias("_row"))
-    both = keyed.join(materialize(first, "firsts"), "_row").where(F.col("id").eqNullSafe(F.col(doc_id)))
-    alike = F.row_number().over(W.partitionBy("_row", doc_id).orderBy("_row"))
-    return both.withColumn("_place", alike).where("_place = 1").select(*df.columns)
+    own, of, hashed, number = unused(df, "_own", "_of", "_hash", "_number")
+    keyed = df.withColumn(own, row_hash(df))
+    narrow = keyed.select(F.col(doc_id).alias("_id"), F.col(own).alias("_row"), F.col(text).alias("_text"))
+    found = near_duplicates(narrow, ["_id", "_row"], "_id", "_text", words, bits)
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    first = materialize(first.select(F.col("first.id").alias(of), F.col("first.row").alias(hashed)), "firsts")
+    both = keyed.join(first, (F.col(own) == F.col(hashed)) & F.col(doc_id).eqNullSafe(F.col(of)))
+    alike = F.row_number().over(W.partitionBy(own, doc_id).orderBy(own))
+    return both.withColumn(number, alike).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -38,6 +38,13 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def map_texts(
     df: DataFrame,
     kept: list[str],
@@ -60,7 +67,7 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         work, arrow = make(), to_arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             columns = work(batch.column(sent.index(text)).to_pylist())
             arrays = [batch.column(i) for i in range(len(kept))]
             arrays += [pa.array(x, type=arrow.field(len(kept) + i).type) for i, x in enumerate(columns)]
@@ -90,7 +97,7 @@ def rewrite_texts(df: DataFrame, text: str, spans: str) -> DataFrame:
     at, of = names.index(text), names.index(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             texts, found = columns[at].to_pylist(), columns[of].to_pylist()
             for i, some in enumerate(found):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import attach, rewrite_texts
+from vigil.llm.common import attach, rewrite_texts, slices
 from vigil.session import materialize
 
 #: Kinds by number; added spans have the number of their kind plus 4.
@@ -150,7 +150,7 @@ def scan(df: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             spans = [base_spans(t) for t in texts]
             found = [[dict(zip(fields, m)) for m in mentions(t, s)] for t, s in zip(texts, spans)]

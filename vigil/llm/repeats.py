@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import attach, rewrite_texts
+from vigil.llm.common import attach, rewrite_texts, slices
 from vigil.session import materialize
 
 LINE_WORDS, SENTENCE_WORDS = 6, 8
@@ -63,7 +63,7 @@ def units(text: str) -> list[tuple[bytes, int, int, bool]]:
 
 def _unit_rows(df: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = batch.column("_id").to_pylist(), batch.column("_key").to_pylist()
             rows = []
             for doc, key, text in zip(ids, keys, batch.column("_text").to_pylist()):

@@ -49,8 +49,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
     kept = ["doc_id", "lang", "source"]
-    ids = bpe.encode(docs, [*kept, "text"], VOCABULARY, PATTERN)
-    back = bpe.decode(ids, [*kept, "text", "ids"], VOCABULARY)
+    back = bpe.round_trip(docs.select(*COLUMNS), [*kept, "text"], VOCABULARY, PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select(*kept, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 

@@ -26,6 +26,8 @@ def test_ids_and_round_trip_equal_the_reference(spark, documents, sample, refere
     texts = [r.text for r in sample.select("text").collect()] + ODD
     docs = documents(list(enumerate(texts)), "1 as ids;'x' as decoded;'y' as _text")
     got = bpe.decode(bpe.encode(docs, ["doc_id"], PATH, PATTERN), ["doc_id", "ids"], PATH).collect()
+    once = bpe.round_trip(docs, ["doc_id"], PATH, PATTERN).collect()
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in once) == sorted((r.doc_id, r.ids, r.decoded) for r in got)
     assert len(got) == len(texts)
     for row in got:
         text = texts[row.doc_id] or ""

@@ -181,3 +181,21 @@ def decode(df: DataFrame, kept: list[str], path: str, ids: str = "ids") -> DataF
         return lambda rows: [[one(x or b"") for x in rows]]
 
     return map_texts(df, kept, make, "decoded binary", ids)
+
+
+def round_trip(df: DataFrame, kept: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``kept``, ``ids`` as by ``encode`` and ``decoded`` as by ``decode`` of these ids, in one pass of one worker."""
+    pieces = read_ranks(path)
+    shared = df.sparkSession.sparkContext.broadcast((model_bytes(pieces), pieces))
+
+    def make():
+        model, known = shared.value
+        into, back = encoder(model, known, pattern), decoder(known)
+
+        def work(texts):
+            ids = into([t or "" for t in texts])
+            return [ids, [back(x) for x in ids]]
+
+        return work
+
+    return map_texts(df, kept, make, "ids binary, decoded binary", text)

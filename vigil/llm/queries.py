@@ -70,8 +70,7 @@ def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY, PATTERN)
-    back = bpe.decode(ids, ["doc_id", "ids"], VOCABULARY)
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY, PATTERN)
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

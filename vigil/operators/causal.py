@@ -59,8 +59,7 @@ def causal_rate(
         .where(F.col("_side") == _ROW)
         .select("_at", "_prior")
     )
-    # One row per prediction date.
-    joined = known.join(F.broadcast(prior), "_at")
+    joined = known.join(prior.withColumnRenamed("_at", "_asked"), F.col("_at").eqNullSafe(F.col("_asked"))).drop("_asked")
     positives = F.coalesce("_cum_pos", F.lit(0.0))
     seen = F.coalesce("_cum_n", F.lit(0.0))
     rate = (positives + F.lit(float(alpha)) * F.col("_prior")) / F.nullif(

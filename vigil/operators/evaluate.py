@@ -9,18 +9,34 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scalars as S
 from vigil.operators.ordered import FIRST, number_rows, running_totals
+from vigil.operators.quantiles import with_quantiles
 
 EPS = 1e-8
 SCORE_BUCKETS_PER_UNIT = 32
 
 
+def scored(score: Column) -> Column:
+    """A score that is a number; rows without one are unscored and stay out of curves and means."""
+    return score.isNotNull() & ~F.isnan(score.cast("double"))
+
+
+def clipped(score: Column, edge: float = EPS) -> Column:
+    """Probability away from 0 and 1; NULL for a missing score (least and greatest would skip it)."""
+    return F.when(scored(score), F.greatest(F.least(score, F.lit(1 - edge)), F.lit(edge)))
+
+
+def _alert(score: str, level: Column) -> Column:
+    """An unscored row raises no alert."""
+    return F.coalesce(scored(F.col(score)) & (F.col(score) >= level), F.lit(False))
+
+
 def _score_bucket(score: Column) -> Column:
     """Bucket of a probability on the log-odds scale.
 
     Monotone in the score and fine where scores crowd near zero or one, so that
     a curve of many distinct scores is cut into many small ordered pieces.
     """
-    p = F.greatest(F.least(score, F.lit(1 - 1e-12)), F.lit(1e-12))
+    p = clipped(score, 1e-12)
     return F.floor(F.ln(p / (1 - p)) * SCORE_BUCKETS_PER_UNIT).cast("int")
 
 
@@ -37,7 +53,7 @@ def by_score(
 ) -> DataFrame:
     """One row per distinct score: positives, rows, sums of squares for Brier."""
     w = _weight(weight)
-    return df.groupBy(*by, F.col(score).alias("threshold")).agg(
+    return df.where(scored(F.col(score))).groupBy(*by, F.col(score).alias("threshold")).agg(
         F.sum(w * F.col(label)).alias("tp"), F.sum(w).alias("n")
     )
 
@@ -99,10 +115,10 @@ def ranking_metrics(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     positives, total = F.max("positives"), F.max("total")
     negatives = total - positives
     gain = F.sum(F.col("tp") / F.nullif(F.col("positives"), F.lit(0)) * F.col("precision"))
-    wins = F.sum((F.col("n") - F.col("tp")) * (F.col("cum_tp") - F.col("tp") / 2))
+    wins = F.sum((F.col("n") - F.col("tp")).cast("double") * (F.col("cum_tp") - F.col("tp") / 2))
     return curve.groupBy(*by).agg(
         gain.alias("average_precision"),
-        (wins / F.nullif((positives * negatives).cast("double"), F.lit(0.0))).alias("roc_auc"),
+        (wins / F.nullif(positives.cast("double") * negatives.cast("double"), F.lit(0.0))).alias("roc_auc"),
     )
 
 
@@ -155,7 +171,7 @@ def threshold_metrics(
     """Confusion counts and what follows from them at one threshold, per group."""
     y, w = F.col(label), _weight(weight)
     level = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    alert = F.col(score) >= level
+    alert = _alert(score, level)
 
     def amount(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, w)), F.lit(0))
@@ -259,8 +275,9 @@ def threshold_grid(
 def probability_metrics(
     df: DataFrame, label: str, score: str, weight: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Brier score and log-loss of clipped probabilities."""
-    p = F.greatest(F.least(F.col(score), F.lit(1 - EPS)), F.lit(EPS))
+    """Brier score and log-loss of clipped probabilities over the scored rows."""
+    df = df.where(scored(F.col(score)))
+    p = clipped(F.col(score))
     y, w = F.col(label), _weight(weight)
     loss = -F.when(y == 1, F.ln(p)).otherwise(F.ln(1 - p))
     return df.groupBy(*by).agg(
@@ -276,7 +293,7 @@ def quantile_edges(df: DataFrame, score: str, bins: int) -> DataFrame:
     statistics around each quantile are then minima over the scores whose
     running count has reached them.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(
+    counts = df.where(scored(F.col(score))).groupBy(F.col(score).alias("_v")).agg(
         F.count("*").alias("_n")
     )
     bucketed = counts.withColumns({"_bucket": _score_bucket(F.col("_v")), "_by": F.lit(0)})
@@ -299,7 +316,7 @@ def reliability(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFr
     one = F.lit(1)
     edges = quantile_edges(df, score, bins).withColumn("_one", one)
     # A global aggregate: exactly one row.
-    placed = df.withColumn("_one", one).join(F.broadcast(edges), "_one")
+    placed = df.where(scored(F.col(score))).withColumn("_one", one).join(F.broadcast(edges), "_one")
     inner = F.slice(F.array_distinct("edges"), 2, bins)
     number = F.size(F.filter(inner, lambda edge: edge < F.col(score)))
     return placed.groupBy(number.alias("bin")).agg(
@@ -310,7 +327,7 @@ def reliability(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFr
 
 
 def cluster_counts(df: DataFrame, key: str, label: str, score: str, threshold: float) -> DataFrame:
-    alert, y = F.col(score) >= F.lit(float(threshold)), F.col(label)
+    alert, y = _alert(score, F.lit(float(threshold))), F.col(label)
     return df.groupBy(F.col(key).cast("string").alias("_key")).agg(
         S.count_if(alert & (y == 1)).alias("tp"),
         S.count_if(alert & (y == 0)).alias("fp"),
@@ -377,46 +394,47 @@ def cluster_bootstrap(
 
 
 def logit(score: Column) -> Column:
-    p = F.greatest(F.least(score, F.lit(1 - EPS)), F.lit(EPS))
+    p = clipped(score)
     return F.ln(p / (1 - p))
 
 
 def fit_calibration(df: DataFrame, label: str, score: str, penalty: float = 10.0) -> dict:
-    """Slope and intercept on the log-odds; the identity when the slope is not positive."""
+    """Slope and intercept on the log-odds of the scored rows, fitted by Spark ML.
+
+    A slope that would turn the order of the scores round is not used: the
+    calibration then changes nothing.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.select(F.col(label).cast("double").alias("label"), logit(F.col(score)).alias("z"))
-    vectors = VectorAssembler(inputCols=["z"], outputCol="features").transform(rows)
-    count = rows.count()
-    learner = LogisticRegression(
-        maxIter=200, regParam=1.0 / (penalty * count), standardization=False
-    )
-    fitted = learner.fit(vectors)
-    slope = float(fitted.coefficients[0])
-    if slope <= 0:
-        return {"coef": 1.0, "intercept": 0.0, "method": "identity; fitted slope nonpositive"}
-    return {"coef": slope, "intercept": float(fitted.intercept), "method": "sigmoid on log-odds"}
+    odds = df.where(scored(F.col(score))).select(logit(F.col(score)).alias("odds"), F.col(label).cast("double").alias("label"))
+    table = VectorAssembler(inputCols=["odds"], outputCol="features").transform(odds)
+    # the penalty is that of a sum of losses; Spark ML averages them
+    learner = LogisticRegression(maxIter=200, regParam=1.0 / (penalty * table.count()), standardization=False)
+    model = learner.fit(table)
+    slope, intercept = float(model.coefficients[0]), float(model.intercept)
+    kept = slope > 0
+    return {"coef": slope if kept else 1.0, "intercept": intercept if kept else 0.0, "method": "sigmoid" if kept else "identity"}
 
 
 def apply_calibration(score: Column, calibration: dict) -> Column:
-    z = logit(score) * F.lit(calibration["coef"]) + F.lit(calibration["intercept"])
-    bounded = F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0))
-    return F.lit(1.0) / (1 + F.exp(-bounded))
+    """Calibrated probability; a missing score stays missing."""
+    odds = F.lit(calibration["intercept"]) + F.lit(calibration["coef"]) * logit(score)
+    return F.when(scored(score), 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-50.0)), F.lit(50.0)))))
 
 
 def lead_times(df: DataFrame, label: str, start: str) -> DataFrame:
     """Hours from prediction to the labelled start, and how many break the bounds."""
     hours = S.hours_between(F.col(start), F.col("prediction_time"))
     positive = df.where(F.col(label) == 1).withColumn("_hours", hours)
-    return positive.agg(
+    counts = positive.agg(
         F.count("_hours").alias("rows"),
         F.avg("_hours").alias("mean_hours"),
         F.min("_hours").alias("min_hours"),
-        F.percentile_approx("_hours", 0.5, 10000).alias("median_hours"),
         F.max("_hours").alias("max_hours"),
         S.count_if((F.col("_hours") < 24) | (F.col("_hours") >= 744)).alias("out_of_bounds"),
     )
+    return with_quantiles(counts, positive, [], "_hours", {"median_hours": 0.5})
 
 
 def early_share(df: DataFrame, label: str, score: str, threshold: float, early: str) -> DataFrame:

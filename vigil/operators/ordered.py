@@ -80,7 +80,7 @@ def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     Rows are numbered inside buckets of the key's hash; running totals over the
     at most 4,096 buckets (three hexadecimal digits) make the numbers global.
     """
-    hashed = df.withColumn("_part", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
+    hashed = df.withColumn("_part", F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 3))
     sizes = hashed.groupBy("_part").agg(F.count("*").alias("_size"))
     across = Window.orderBy("_part").rowsBetween(FIRST, -1)
     offsets = sizes.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigil import fixed_values as fv
 from vigil.functions import scalars as S
 from vigil.operators.ordered import FIRST
+from vigil.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def observed_states(events: DataFrame, year: Column) -> DataFrame:
@@ -158,17 +159,15 @@ def pivot_sum(
 
 def episode_summary(runs: DataFrame) -> DataFrame:
     """Episodes per year with censoring and the median closed duration."""
-    return (
-        runs.groupBy(F.year("start_ts").alias("year"))
-        .agg(
-            F.count("*").alias("episodes"),
-            S.count_if(F.col("observed_start")).alias("observed_starts"),
-            F.count_distinct("channel_id").alias("channels"),
-            S.count_if(F.col("left_censored")).alias("left_censored"),
-            S.count_if(F.col("right_censored")).alias("right_censored"),
-            F.percentile_approx("duration_hours", 0.5, 10000).alias("median_closed_hours"),
-        )
+    yearly = runs.withColumn("year", F.year("start_ts"))
+    counts = yearly.groupBy("year").agg(
+        F.count("*").alias("episodes"),
+        S.count_if(F.col("observed_start")).alias("observed_starts"),
+        F.count_distinct("channel_id").alias("channels"),
+        S.count_if(F.col("left_censored")).alias("left_censored"),
+        S.count_if(F.col("right_censored")).alias("right_censored"),
     )
+    return with_quantiles(counts, yearly, ["year"], "duration_hours", {"median_closed_hours": 0.5})
 
 
 def duration_sensitivity(runs: DataFrame) -> DataFrame:
@@ -186,12 +185,12 @@ def episode_semantics(runs: DataFrame, meta: DataFrame, short_hours: float) -> D
     """Share of short episodes and the median length per current type."""
     confirmed = runs.where("observed_start").join(meta, "channel_id", "left")
     hours = F.col("duration_hours")
-    return confirmed.groupBy("sensor_type_current").agg(
+    counts = confirmed.groupBy("sensor_type_current").agg(
         F.count("*").alias("episodes"),
         F.count("duration_hours").alias("closed_episodes"),
         F.avg((hours <= short_hours).cast("int")).alias("short_share_closed"),
-        F.percentile_approx("duration_hours", 0.5, 10000).alias("median_hours"),
     )
+    return with_quantiles(counts, confirmed, ["sensor_type_current"], "duration_hours", {"median_hours": 0.5})
 
 
 def starts_by_hour(runs: DataFrame) -> DataFrame:
@@ -207,8 +206,8 @@ def duration_histogram(runs: DataFrame, bins_per_decade: int = 5) -> DataFrame:
     return closed.groupBy(bin_number.alias("bin")).agg(F.count("*").alias("episodes"))
 
 
-def feature_profile(df: DataFrame, features: Sequence[str], accuracy: int = 10000) -> DataFrame:
-    """Missing, range, mean, median and p99 of every feature in one pass."""
+def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Missing, range, mean, median and p99 of every feature; quantiles are exact and interpolated."""
     long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot(
         [], list(features), "feature", "value"
     )
@@ -220,8 +219,8 @@ def feature_profile(df: DataFrame, features: Sequence[str], accuracy: int = 1000
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.avg("value").alias("mean"),
-        F.percentile_approx("value", [0.5, 0.99], accuracy).alias("_q"),
     )
+    profile = with_quantiles(profile, long.where(usable), ["feature"], "value", {"median": 0.5, "p99": 0.99})
     return profile.select(
         "feature",
         "rows",
@@ -229,8 +228,8 @@ def feature_profile(df: DataFrame, features: Sequence[str], accuracy: int = 1000
         "min",
         "max",
         "mean",
-        F.col("_q")[0].alias("median"),
-        F.col("_q")[1].alias("p99"),
+        "median",
+        "p99",
         (F.col("missing_or_nonfinite") / F.col("rows")).alias("missing_rate"),
         (F.col("min").isNull() | (F.col("min") == F.col("max"))).alias("constant_or_empty"),
     )
@@ -310,43 +309,29 @@ def top_share(per_channel: DataFrame, n: int = 10) -> DataFrame:
     return some.join(whole, "_one").select(share.alias("top_share"))
 
 
-def describe(df: DataFrame, columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation and quantiles of the given columns."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
-    quantiles = F.percentile_approx("value", [0.25, 0.5, 0.75, 0.95, 0.99], accuracy)
     stats = long.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        quantiles.alias("_q"),
-    )
-    names = ["p25", "p50", "p75", "p95", "p99"]
-    return stats.select(
-        "column",
-        "count",
-        "mean",
-        "std",
-        "min",
-        "max",
-        *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
     )
+    quantiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    return with_quantiles(stats, long, ["column"], "value", quantiles)
 
 
-def outlier_share(df: DataFrame, columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
+def outlier_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of values outside 1.5 interquartile ranges; nothing is removed."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
     # One row per column name.
-    bounds = F.broadcast(
-        long.groupBy("column").agg(
-            F.percentile_approx("value", [0.25, 0.75], accuracy).alias("_q")
-        )
-    )
+    bounds = F.broadcast(exact_quantiles(long, ["column"], "value", [0.25, 0.75]).withColumnRenamed("quantiles", "_q"))
     low, high = F.col("_q")[0], F.col("_q")[1]
     reach = (high - low) * 1.5
     outside = (F.col("value") < low - reach) | (F.col("value") > high + reach)

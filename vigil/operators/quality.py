@@ -24,17 +24,21 @@ def valid_rows(clean: DataFrame) -> DataFrame:
     )
 
 
-def invalid_sample(clean: DataFrame, n: int | None = 200) -> DataFrame:
-    """Messages that lack a time, a channel or a readable alarm flag; all for n=None."""
+def invalid_sample(clean: DataFrame, n: int | None) -> DataFrame:
+    """Messages that lack a time, a channel or a readable alarm flag.
+
+    All for n=None, else the n of the smallest row hashes.
+    """
     channel = F.col("channel_id")
     lost = F.col("ts").isNull() | channel.isNull() | (channel == "") | F.col("alarm").isNull()
     found = clean.where(lost)
-    return found if n is None else found.limit(n)
+    return found if n is None else found.orderBy(row_hash64(fv.RAW_COLUMNS)).limit(n)
 
 
 def drop_exact_duplicates(events: DataFrame) -> DataFrame:
     """One row per distinct set of the six raw fields; identifiers are no key."""
-    return events.dropDuplicates(fv.RAW_COLUMNS)
+    # all other columns follow from these, so whole rows are compared: that needs no sort
+    return events.distinct()
 
 
 def clean_journal(typed_events: DataFrame) -> DataFrame:
@@ -105,6 +109,11 @@ def row_balance(audit: DataFrame, copies: DataFrame) -> DataFrame:
     )
 
 
+def row_hash64(columns: list[str]) -> Column:
+    """Hash of a row that tells where its NULLs are (the hash function alone skips them)."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def signature(raw: DataFrame, columns: list[str] = fv.RAW_COLUMNS, portable: bool = False) -> DataFrame:
     """Row count and a sum of row hashes that does not depend on the order.
 
@@ -114,7 +123,7 @@ def signature(raw: DataFrame, columns: list[str] = fv.RAW_COLUMNS, portable: boo
         text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("~")) for c in columns])
         row_hash = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
     else:
-        row_hash = F.xxhash64(*columns).cast("decimal(38,0)")
+        row_hash = row_hash64(columns).cast("decimal(38,0)")
     return raw.agg(F.count("*").alias("rows"), F.sum(row_hash).alias("signature"))
 
 
@@ -132,7 +141,7 @@ def source_parity(prepared: DataFrame, from_text: DataFrame, by: list[str]) -> D
     """Parity of two sources per group (usually the year), as a table."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        row_hash = F.xxhash64(*fv.RAW_COLUMNS).cast("decimal(38,0)")
+        row_hash = row_hash64(fv.RAW_COLUMNS).cast("decimal(38,0)")
         return df.groupBy(*by).agg(
             F.count("*").alias(f"{name}_rows"), F.sum(row_hash).alias(f"_{name}")
         )

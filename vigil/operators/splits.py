@@ -265,8 +265,8 @@ def mark_unseen(rows: DataFrame, train: DataFrame, column: str, name: str) -> Da
     return marked.withColumn(name, F.col(column).isNotNull() & F.col("_seen").isNull()).drop("_seen")
 
 
-def validate(splits: dict[str, DataFrame], label: str, horizon_hours: int = 48) -> DataFrame:
-    """Both classes, no missing label, unique keys and purged borders; else raises."""
+def validation_report(splits: dict[str, DataFrame], label: str) -> DataFrame:
+    """What ``validate`` judges: one row a split, whatever is wrong with it."""
     parts = []
     for name, df in splits.items():
         keys = df.groupBy("entity_id", "prediction_time").agg(
@@ -290,6 +290,12 @@ def validate(splits: dict[str, DataFrame], label: str, horizon_hours: int = 48)
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)
+    return report
+
+
+def validate(splits: dict[str, DataFrame], label: str, horizon_hours: int = 48) -> DataFrame:
+    """Both classes, no missing label, unique keys and purged borders; else raises."""
+    report = validation_report(splits, label)
     found = {r["split"]: r for r in report.collect()}  # one row per split
     for name, r in found.items():
         if r["missing_labels"] or not r["negatives"] or not r["positives"]:

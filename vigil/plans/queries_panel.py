@@ -71,12 +71,10 @@ def _(spark, sf):
 @query(
     "order_calendar_gaps",
     """SELECT d AS day FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS d
-       FROM order_journal_t WHERE alarm AND state = 'P')
-       WHERE d NOT IN (SELECT ts FROM order_journal_t WHERE alarm AND state = 'P')""",
+       FROM order_journal_t) WHERE d NOT IN (SELECT ts FROM order_journal_t WHERE ts IS NOT NULL)""",
 )
 def _(spark, sf):
-    urgent = B.order_journal(spark, sf).where("alarm AND state = 'P'")
-    return C.missing_days(C.day_coverage(urgent))
+    return C.missing_days(C.day_coverage(B.order_journal(spark, sf)))
 
 
 @query("state_timeline", "SELECT * FROM transitions_t")

@@ -380,14 +380,14 @@ part(
        sum(if(regexp_matches(lower(c.sensor_type), 'auto|build|house'), fault_messages, 0))::BIGINT AS sensor,
        sum(if(regexp_matches(lower(c.sensor_type), 'mach|^furn'), fault_messages, 0))::BIGINT AS infrastructure,
        count(*) FILTER (WHERE c.channel_key IS NULL) AS unmapped_channel_days
-       FROM daily_t LEFT JOIN (SELECT * FROM channels_t WHERE system_type <> 'ASIA') c
+       FROM daily_t LEFT JOIN channels_t c
          ON c.channel_key::VARCHAR = channel_id WHERE day < DATE '2024-01-26' GROUP BY 1""",
 )
 
 
 @query("daily_observations", "SELECT * REPLACE (date::TIMESTAMP AS date) FROM observations_t")
 def _(spark, sf):
-    known = B.channels(spark, sf).where(F.col(fv.SYSTEM_TYPE) != "ASIA").select(
+    known = B.channels(spark, sf).select(
         F.col(fv.CHANNEL_KEY).cast("string").alias("channel_id"),
         F.col(fv.SENSOR_TYPE).alias("sensor_type"),
     )
@@ -400,15 +400,12 @@ def _(spark, sf):
     "observation_history",
     """SELECT d AS date, o.n AS orders FROM
        (SELECT unnest(generate_series(max(o_orderdate) - INTERVAL 99 DAY, max(o_orderdate), INTERVAL 1 DAY)) AS d
-        FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') LEFT JOIN
-       (SELECT o_orderdate AS t, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY 1) o
+        FROM orders) LEFT JOIN
+       (SELECT o_orderdate AS t, count(*) AS n FROM orders GROUP BY 1) o
        ON o.t = d""",
 )
 def _(spark, sf):
-    urgent = B.table(spark, sf, "orders").where(
-        "o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
-    )
-    days = urgent.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("orders"))
+    days = B.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("orders"))
     return C.observation_history(days, 100)
 
 
@@ -456,11 +453,17 @@ def _(spark, sf):
 
 @query(
     "ranked_predictions",
-    "SELECT id, score, risk FROM latest_t ORDER BY score DESC NULLS LAST, id LIMIT 6",
+    "SELECT id, score, risk FROM latest_t",
 )
 def _(spark, sf):
-    latest = K.active(predictions(spark, sf), MODELS)
-    return K.ranked(latest).limit(6).select("id", "score", "risk")
+    """The whole list, highest score first."""
+    return K.ranked(K.active(predictions(spark, sf), MODELS)).select("id", "score", "risk")
+
+
+@query("top_predictions", "SELECT id, score, risk FROM latest_t ORDER BY score DESC NULLS LAST, id LIMIT 6")
+def _(spark, sf):
+    """The six rows that head the dashboard."""
+    return K.ranked(K.active(predictions(spark, sf), MODELS)).limit(6).select("id", "score", "risk")
 
 
 @query(

@@ -277,7 +277,7 @@ def _(spark, sf):
 @query(
     "lead_times",
     """SELECT count(h) AS rows, round(avg(h), 6) AS mean_hours, round(min(h), 6) AS min_hours,
-       round(quantile_disc(h, 0.5), 6) AS median_hours, round(max(h), 6) AS max_hours,
+       round(quantile_cont(h, 0.5), 6) AS median_hours, round(max(h), 6) AS max_hours,
        count(*) FILTER (WHERE h < 24 OR h >= 744) AS out_of_bounds
        FROM (SELECT date_diff('microsecond', prediction_time, next_start_after_24h) / 3.6e9 AS h FROM monthly_t
              WHERE target_monthly = 1)""",

@@ -415,36 +415,16 @@ def _(spark, sf):
 
 @query(
     "split_validation",
-    f"""SELECT split, count(*) AS rows, 0::BIGINT AS duplicate_keys, 0::BIGINT AS missing_labels,
+    f"""SELECT split, count(*) AS rows, count(*) - count(DISTINCT (channel_id, prediction_time)) AS duplicate_keys,
+        count(*) FILTER (WHERE {LABEL} IS NULL) AS missing_labels,
         count(*) FILTER (WHERE {LABEL} = 0) AS negatives, count(*) FILTER (WHERE {LABEL} = 1) AS positives,
         min(prediction_time) AS first_time, max(prediction_time) AS last_time FROM split_t GROUP BY 1""",
 )
 def _(spark, sf):
     rows = split_rows(spark, sf).withColumnRenamed("channel_id", "entity_id")
     names = ("train", "validation", "test")
-    if not _has_both_classes(rows, names):
-        return _counted(rows)
-    return SP.validate({s: rows.where(F.col("split") == s) for s in names}, LABEL)
-
-
-def _has_both_classes(rows, names):
-    found = rows.groupBy("split").agg(F.count_distinct(LABEL).alias("n")).collect()
-    return {r["split"] for r in found if r["n"] == 2} == set(names)
-
-
-def _counted(rows):
-    """The same table without the refusal, for data too small for three splits."""
-    y = F.col(LABEL)
-    zero = F.lit(0).cast("long")
-    return rows.groupBy("split").agg(
-        F.count("*").alias("rows"),
-        zero.alias("duplicate_keys"),
-        zero.alias("missing_labels"),
-        F.count(F.when(y == 0, 1)).alias("negatives"),
-        F.count(F.when(y == 1, 1)).alias("positives"),
-        F.min("prediction_time").alias("first_time"),
-        F.max("prediction_time").alias("last_time"),
-    )
+    found = SP.validation_report({s: rows.where(F.col("split") == s) for s in names}, LABEL)
+    return found.where("rows > 0")
 
 
 _PROFILED = ["events_1d", "events_7d", "alarms_7d", "fault_messages_30d", "numeric_mean_7d", "alarm_rate_7d"]
@@ -453,7 +433,7 @@ _PROFILED = ["events_1d", "events_7d", "alarms_7d", "fault_messages_30d", "numer
 def _profile_sql(f: str) -> str:
     v = f"round({f}, 9)::DOUBLE" if f in ("numeric_mean_7d", "alarm_rate_7d") else f"{f}::DOUBLE"
     return f"""SELECT '{f}' AS feature, count(*) AS rows, count(*) - count({f}) AS missing_or_nonfinite, min({v}) AS min,
-        max({v}) AS max, round(avg({v}), 6) AS mean, quantile_disc({v}, 0.5) AS median, quantile_disc({v}, 0.99) AS p99,
+        max({v}) AS max, round(avg({v}), 6) AS mean, round(quantile_cont({v}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({v}::DOUBLE, 0.99), 6) AS p99,
         round((count(*) - count({f})) / count(*), 9) AS missing_rate,
         coalesce(min({v}) = max({v}), true)::INT AS constant_or_empty FROM panel_t"""
 
@@ -465,7 +445,7 @@ def _profile_rows(spark, sf):
 @query("feature_profile", " UNION ALL ".join(_profile_sql(f) for f in _PROFILED))
 def _(spark, sf):
     found = R.feature_profile(_profile_rows(spark, sf), _PROFILED)
-    return rounded(rounded(found, ["mean"], 6), ["missing_rate"], 9)
+    return rounded(rounded(found, ["mean", "median", "p99"], 6), ["missing_rate"], 9)
 
 
 @query(
@@ -487,15 +467,14 @@ _DESCRIBED = {"l_quantity": 6, "l_extendedprice": 2, "l_discount": 6}
     "value_description",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), {d}) AS mean,
-            round(stddev_samp({c}), {d}) AS std, min({c}) AS min, max({c}) AS max, quantile_disc({c}, 0.25) AS p25,
-            quantile_disc({c}, 0.5) AS p50, quantile_disc({c}, 0.75) AS p75, quantile_disc({c}, 0.95) AS p95,
-            quantile_disc({c}, 0.99) AS p99 FROM lineitem"""
+            round(stddev_samp({c}), {d}) AS std, min({c}) AS min, max({c}) AS max, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS p25,
+            round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS p75, round(quantile_cont({c}::DOUBLE, 0.95), 6) AS p95,
+            round(quantile_cont({c}::DOUBLE, 0.99), 6) AS p99 FROM lineitem"""
         for c, d in _DESCRIBED.items()
     ),
 )
 def _(spark, sf):
-    # More steps than rows, so that the quantiles are exact order statistics.
-    found = R.describe(B.table(spark, sf, "lineitem"), list(_DESCRIBED), 1_000_000)
+    found = rounded(R.describe(B.table(spark, sf, "lineitem"), list(_DESCRIBED)), ["p25", "p50", "p75", "p95", "p99"], 6)
     price = F.col("column") == "l_extendedprice"
     return found.withColumns(
         {c: F.when(price, F.round(c, 2)).otherwise(F.round(c, 6)) for c in ("mean", "std")}
@@ -507,13 +486,13 @@ def _(spark, sf):
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", a AS q1, b AS q3, round(b - a, 6) AS iqr,
             round(100 * (SELECT count(*) FROM lineitem WHERE {c} < a - (b - a) * 1.5 OR {c} > b + (b - a) * 1.5) / n, 9)
-            AS outside_percent FROM (SELECT quantile_disc({c}, 0.25) AS a, quantile_disc({c}, 0.75) AS b, count({c}) AS n
+            AS outside_percent FROM (SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b, count({c}) AS n
             FROM lineitem)"""
         for c in _DESCRIBED
     ),
 )
 def _(spark, sf):
-    found = R.outlier_share(B.table(spark, sf, "lineitem"), list(_DESCRIBED), 1_000_000)
+    found = R.outlier_share(B.table(spark, sf, "lineitem"), list(_DESCRIBED))
     return rounded(rounded(found, ["iqr"], 6), ["outside_percent"], 9)
 
 
@@ -542,10 +521,10 @@ def _(spark, sf):
     """SELECT year(start_ts)::INT AS year, count(*) AS episodes, count(*) FILTER (WHERE observed_start) AS observed_starts,
        count(DISTINCT channel_id) AS channels, count(*) FILTER (WHERE left_censored) AS left_censored,
        count(*) FILTER (WHERE right_censored) AS right_censored,
-       quantile_disc(duration_hours, 0.5) AS median_closed_hours FROM order_runs_t GROUP BY 1""",
+       round(quantile_cont(duration_hours, 0.5), 6) AS median_closed_hours FROM order_runs_t GROUP BY 1""",
 )
 def _(spark, sf):
-    return R.episode_summary(B.order_runs(spark, sf))
+    return rounded(R.episode_summary(B.order_runs(spark, sf)), ["median_closed_hours"], 6)
 
 
 @query(
@@ -562,12 +541,12 @@ def _(spark, sf):
 @query(
     "episode_semantics",
     """SELECT c.sensor_type AS sensor_type_current, count(*) AS episodes, count(duration_hours) AS closed_episodes,
-       round(avg((duration_hours <= 24)::INT), 9) AS short_share_closed, quantile_disc(duration_hours, 0.5) AS median_hours
+       round(avg((duration_hours <= 24)::INT), 9) AS short_share_closed, round(quantile_cont(duration_hours, 0.5), 6) AS median_hours
        FROM runs_t r LEFT JOIN channels_t c ON c.channel_key::VARCHAR = r.channel_id WHERE observed_start GROUP BY 1""",
 )
 def _(spark, sf):
     found = R.episode_semantics(B.fault_runs(spark, sf), B.metadata(spark, sf), 24.0)
-    return rounded(found, ["short_share_closed"], 9)
+    return rounded(rounded(found, ["short_share_closed"], 9), ["median_hours"], 6)
 
 
 @query(

@@ -87,20 +87,27 @@ def file_rows(table: DataFrame) -> DataFrame:
     return table.groupBy(name.alias("file")).agg(F.count("*").alias("rows"))
 
 
-def file_manifest(spark: SparkSession, paths: list[str], digest_below: int = 1 << 28) -> DataFrame:
-    """Rows, bytes and SHA-256 per Parquet file.
+def file_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows, bytes and a digest of the rows per Parquet file, for files of any size.
 
-    A file above ``digest_below`` bytes gets no digest, since hashing needs its
-    whole content in one row.
+    The digest is the sum of the hashes of a file's rows, NULLs included: it
+    needs no file as a whole and does not depend on the order of its rows.
     """
-    files = spark.read.format("binaryFile").load(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    sizes = files.select(name.alias("file"), F.col("length").alias("bytes"))
-    digests = files.where(F.col("length") <= digest_below).select(
-        name.alias("file"), F.sha2("content", 256).alias("sha256")
-    )
-    rows = file_rows(spark.read.parquet(*paths))
-    return sizes.join(rows, "file", "left").join(digests, "file", "left")
+    sizes = files.select(name.alias("file"), "bytes")
+    parts = []
+    for path in paths:  # each may have columns of its own
+        table = spark.read.parquet(path)
+        columns = [F.col(f"`{c}`") for c in table.columns]
+        row = F.xxhash64(*columns, *[c.isNull() for c in columns]).cast("decimal(38,0)")
+        file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file")
+        hashed = table.select(file, row.alias("_row")).groupBy("file")
+        parts.append(hashed.agg(F.count("*").alias("rows"), F.sum("_row").cast("string").alias("digest")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return sizes.join(rows, "file", "left")
 
 
 def changed_files(inventory: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import moment
+from moments import moment
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv

@@ -94,17 +94,25 @@ EPISODE_LAGS = (6, 13, 20, 27)
 CLOSE_WINDOWS = (30, 90)
 SHORT_EPISODE_HOURS = 1.0 / 60
 
-# Ratio features, name -> (numerator, denominator).
-RATIO_FEATURES = {
-    "alarm_share_1d": ("alarms_1d", "events_1d"),
-    "fault_share_7d": ("fault_messages_7d", "events_7d"),
-    "undefined_share_7d": ("undefined_messages_7d", "events_7d"),
-    "night_share_7d": ("night_events_7d", "events_7d"),
-    "numeric_share_7d": ("numeric_n_7d", "events_7d"),
-    "events_per_active_day_7d": ("events_7d", "active_days_7d"),
-    "events_per_active_day_30d": ("events_30d", "active_days_30d"),
-    "starts_per_fault_day_30d": ("fault_starts_30d", "fault_start_days_30d"),
-    "short_fault_share_90d": ("short_fault_closes_90d", "fault_closes_90d"),
+# Ratio features in contract order, each with its formula in SQL.
+RATIO_FORMULAS = {
+    "hours_since_explicit_state": "timestampdiff(MICROSECOND, last_state_ts, prediction_time) / 3.6e9",
+    "alarm_share_1d": "alarms_1d / nullif(events_1d, 0)",
+    "fault_share_7d": "fault_messages_7d / nullif(events_7d, 0)",
+    "undefined_share_7d": "undefined_messages_7d / nullif(events_7d, 0)",
+    "night_share_7d": "night_events_7d / nullif(events_7d, 0)",
+    "numeric_share_7d": "numeric_n_7d / nullif(events_7d, 0)",
+    "events_per_active_day_7d": "events_7d / nullif(active_days_7d, 0)",
+    "events_per_active_day_30d": "events_30d / nullif(active_days_30d, 0)",
+    "numeric_range_7d": "numeric_max_7d - numeric_min_7d",
+    "numeric_range_30d": "numeric_max_30d - numeric_min_30d",
+    "short_fault_share_90d": "short_fault_closes_90d / nullif(fault_closes_90d, 0)",
+    "fault_start_ratio_7d_30d": "(fault_starts_7d / 7) / nullif(fault_starts_30d / 30, 0)",
+    "fault_day_rate_30d": "fault_start_days_30d / 30",
+    "fault_day_rate_90d": "fault_start_days_90d / 90",
+    "fault_day_rate_365d": "fault_start_days_365d / 365",
+    "starts_per_fault_day_30d": "fault_starts_30d / nullif(fault_start_days_30d, 0)",
+    "fault_weekly_repeats": "fault_day_lag_6 + fault_day_lag_13 + fault_day_lag_20 + fault_day_lag_27",
 }
 
 # Feature lists of the scoring contract.

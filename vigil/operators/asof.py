@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,72 +20,58 @@ def asof_join(
     direction: str = "backward",
     strict: bool = True,
     bucket: str = "day",
-    distinct_times: bool | None = None,
 ) -> DataFrame:
     """Left rows with ``values`` of the nearest right row, NULL where there is none.
 
     backward, strict: right < left       backward, not strict: right <= left
     forward, strict:  right > left       forward, not strict:  right >= left
 
-    Both sides are tagged, unioned and ordered inside ``(by, time bucket)``.  A
-    left row whose bucket holds no match takes the edge row of the nearest
-    bucket that has one, found by a window over one row per bucket.  No key has
-    to fit into one task and no pairs are formed.
-
-    With ``distinct_times`` the left side is reduced to its distinct keys and
-    times first and the answers are joined back, which bounds a bucket by the
-    times it has instead of the rows.  That is the default for an empty ``by``,
-    where the right side is one time line for all rows.
+    Only keys and times are ordered: the left side is reduced to its distinct
+    keys and times before any shuffle, the right side to one row of each key and
+    time (the greatest values).  Both are put into one table that is shuffled
+    once by ``(by, time bucket)`` and ordered inside a bucket, which so holds at
+    most the distinct times of its span.  A time whose bucket holds no match
+    takes the edge row of the nearest bucket that has one, found by a window
+    over one row per bucket.  An equality join brings the answers to the left
+    rows; a key or time that is NULL has no match.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction: {direction}")
-    if distinct_times if distinct_times is not None else not by:
-        times = left.select(*by, left_ts).distinct()
-        rest = (direction, strict, bucket, False)
-        found = asof_join(times, right, by, left_ts, right_ts, values, *rest)
-        return left.join(found, [*by, left_ts], "left").select(*left.columns, *values)
     backward = direction == "backward"
-    names = left.columns
-    packed_left = F.struct(*[F.col(f"`{c}`") for c in names])
+    keys = [f"_by{i}" for i in range(len(by))]
     # At equal times a strict bound must meet the left row first.
     left_rank, right_rank = (0, 1) if strict else (1, 0)
 
-    lefts = left.select(
-        *by,
-        F.col(left_ts).cast("timestamp_ntz").alias("_ts"),
-        F.lit(left_rank).alias("_rank"),
-        packed_left.alias("_left"),
-    )
-    rights = right.select(
-        *by,
-        F.col(right_ts).cast("timestamp_ntz").alias("_ts"),
-        F.lit(right_rank).alias("_rank"),
-        F.struct(*values).alias("_right"),
-    )
-    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn(
-        "_bucket", F.date_trunc(bucket, "_ts").cast("timestamp_ntz")
+    def narrow(df: DataFrame, ts: str, *more: str) -> DataFrame:
+        present = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in (*by, ts)])
+        named = [F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)]
+        stamp = F.col(f"`{ts}`").cast("timestamp_ntz").alias("_ts")
+        return df.where(present).select(*named, stamp, *more)
+
+    asked = narrow(left, left_ts).distinct().withColumn("_rank", F.lit(left_rank))
+    matches = narrow(right, right_ts, F.struct(*values).alias("_right")).groupBy(*keys, "_ts")
+    known = matches.agg(F.max("_right").alias("_right")).withColumn("_rank", F.lit(right_rank))
+    both = (
+        asked.unionByName(known, allowMissingColumns=True)
+        .withColumn("_bucket", F.date_trunc(bucket, "_ts").cast("timestamp_ntz"))
+        # The window and the edge rows both read this exchange.
+        .repartition(*keys, "_bucket")
     )
     turn = F.asc if backward else F.desc
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(turn("_ts"), F.asc("_rank")).rowsBetween(FIRST, -1)
-    )
-    across = Window.partitionBy(*by).orderBy(turn("_bucket")).rowsBetween(FIRST, -1)
-    nearest_edge = F.max_by if backward else F.min_by
-    edges = both.groupBy(*by, "_bucket").agg(
-        nearest_edge(F.col("_right"), F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias(
-            "_edge"
-        )
-    )
-    carried = edges.select(
-        *by, "_bucket", F.last("_edge", ignorenulls=True).over(across).alias("_carried")
-    )
-    local = both.withColumn("_inside", F.last("_right", ignorenulls=True).over(inside)).where(
-        F.col("_left").isNotNull()
-    )
-    found = local.join(carried, [*by, "_bucket"], "left").withColumn(
-        "_found", F.coalesce("_inside", "_carried")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(turn("_ts"), F.asc("_rank")).rowsBetween(FIRST, -1)
+    across = Window.partitionBy(*keys).orderBy(turn("_bucket")).rowsBetween(FIRST, -1)
+    nearest = F.max_by if backward else F.min_by
+    edge = nearest("_right", F.when(F.col("_rank") == right_rank, F.col("_ts")))
+    edges = both.groupBy(*keys, "_bucket").agg(edge.alias("_edge"))
+    carried = edges.select(*keys, "_bucket", F.last("_edge", ignorenulls=True).over(across).alias("_carried"))
+    local = both.withColumn("_inside", F.last("_right", ignorenulls=True).over(inside))
+    local = local.where(F.col("_rank") == left_rank)
+    found = local.join(carried, [*keys, "_bucket"], "left").select(
+        *keys, "_ts", F.coalesce("_inside", "_carried").alias("_found")
     )
-    return found.select(
-        *[F.col("_left")[c].alias(c) for c in names],
-        *[F.col("_found")[v].alias(v) for v in values],
+    same = [F.col(f"`{c}`") == F.col(k) for c, k in zip(by, keys)]
+    own = left.withColumn("_own", F.col(f"`{left_ts}`").cast("timestamp_ntz"))
+    joined = own.join(found, reduce(lambda a, b: a & b, same, F.col("_own") == F.col("_ts")), "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in left.columns], *[F.col("_found")[v].alias(v) for v in values]
     )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv
 from vigil.functions import scalars as S
-from vigil.operators.contracts import episode_feature_names
 
 
 def _day_marks(fault_runs: DataFrame) -> DataFrame:
@@ -32,6 +31,47 @@ def _day_marks(fault_runs: DataFrame) -> DataFrame:
     return starts.unionByName(closes, allowMissingColumns=True)
 
 
+def episode_formulas(
+    windows: Sequence[int] = fv.EPISODE_WINDOWS,
+    lags: Sequence[int] = fv.EPISODE_LAGS,
+    close_windows: Sequence[int] = fv.CLOSE_WINDOWS,
+) -> dict[str, str]:
+    """Window SQL of every episode feature by its name, in contract order.
+
+    The rows of the window are marks and prediction rows of a channel; ``_t`` is
+    the day and ``_at`` the prediction time.  Counts are differences of two
+    running sums, which is exact for integers; logarithms are summed in a
+    sliding frame, as differences of running doubles are not.
+    """
+    line = "OVER (PARTITION BY channel_id ORDER BY _t RANGE BETWEEN"
+
+    def upto(value: str, days: int) -> str:
+        return f"coalesce(sum({value}) {line} UNBOUNDED PRECEDING AND {days} PRECEDING), 0)"
+
+    def within(value: str, days: int) -> str:
+        return f"{upto(value, 1)} - {upto(value, days + 1)}"
+
+    def since(stamp: str) -> str:
+        newest = f"max({stamp}) {line} UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        return f"timestampdiff(MICROSECOND, {newest}, _at) / 3.6e9"
+
+    def on_day(days: int) -> str:
+        return f"int(coalesce(sum(starts) {line} {days} PRECEDING AND {days} PRECEDING), 0) > 0)"
+
+    def mean_log(days: int) -> str:
+        return f"sum(log_hours) {line} {days} PRECEDING AND 1 PRECEDING) / nullif({within('closes', days)}, 0)"
+
+    found = {"hours_since_fault_start": since("last_start"), "hours_since_fault_end": since("last_close")}
+    found |= {f"fault_starts_{d}d": within("starts", d) for d in windows}
+    found |= {f"fault_start_days_{d}d": within("int(starts > 0)", d) for d in windows}
+    found |= {f"fault_day_lag_{d}": on_day(d) for d in lags}
+    for d in close_windows:
+        found[f"fault_closes_{d}d"] = within("closes", d)
+        found[f"short_fault_closes_{d}d"] = within("short_closes", d)
+        found[f"past_log_duration_mean_{d}d"] = mean_log(d)
+    return found
+
+
 def episode_features(
     rows: DataFrame,
     fault_runs: DataFrame,
@@ -42,77 +82,28 @@ def episode_features(
     """Prediction rows with counts, recency and weekly lags of past episodes.
 
     Starts and recoveries are reduced to one row per channel and day, unioned
-    with the prediction rows and ordered by day.  Every windowed count is the
-    difference of two running sums, so the cost per row does not depend on the
-    width of the window, and one shuffle serves all features.
+    with the prediction rows and ordered by day: one shuffle serves all
+    features, and the cost of a count does not depend on the width of its window.
     """
-    names = rows.columns
-    packed = F.struct(*[F.col(f"`{c}`") for c in names])
-    keys = rows.select(
-        "channel_id", F.to_date("prediction_time").alias("day"), packed.alias("_row")
-    )
-    both = keys.unionByName(_day_marks(fault_runs), allowMissingColumns=True).withColumn(
-        "_t", F.unix_date("day")
+    formulas = episode_formulas(windows, lags, close_windows)
+    past = "OVER (PARTITION BY channel_id ORDER BY _t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    newest = f"greatest(max(last_start) {past}, max(last_close) {past})"
+    asked = rows.select(
+        "channel_id",
+        F.to_date("prediction_time").alias("day"),
+        F.col("prediction_time").alias("_at"),
+        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"),
     )
-    line = "PARTITION BY channel_id ORDER BY _t RANGE BETWEEN"
-
-    def upto(value: str, days: int) -> str:
-        return f"coalesce(sum({value}) OVER ({line} UNBOUNDED PRECEDING AND {days} PRECEDING), 0)"
-
-    def within(value: str, days: int) -> str:
-        return f"({upto(value, 1)} - {upto(value, days + 1)})"
-
-    past = f"OVER ({line} UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    cells = ["_row", f"max(last_start) {past} AS _started", f"max(last_close) {past} AS _closed"]
-    for d in windows:
-        cells.append(f"{within('starts', d)} AS fault_starts_{d}d")
-        cells.append(f"{within('int(starts > 0)', d)} AS fault_start_days_{d}d")
-    for d in lags:
-        cells.append(
-            f"int(coalesce(sum(starts) OVER ({line} {d} PRECEDING AND {d} PRECEDING), 0) > 0)"
-            f" AS fault_day_lag_{d}"
-        )
-    for d in close_windows:
-        cells.append(f"{within('closes', d)} AS fault_closes_{d}d")
-        cells.append(f"{within('short_closes', d)} AS short_fault_closes_{d}d")
-        cells.append(
-            f"{within('log_hours', d)} / nullif({within('closes', d)}, 0)"
-            f" AS past_log_duration_mean_{d}d"
-        )
-    found = both.selectExpr(*cells).where(F.col("_row").isNotNull())
-    t = F.col("_row.prediction_time")
-    derived: dict[str, Column] = {
-        "hours_since_fault_start": S.hours_between(t, F.col("_started")),
-        "hours_since_fault_end": S.hours_between(t, F.col("_closed")),
-        "episode_feature_max_ts": F.greatest("_started", "_closed"),
-    }
-    episode_names = episode_feature_names(windows, lags, close_windows)
-    return found.withColumns(derived).select(
-        *[F.col("_row")[c].alias(c) for c in names], *episode_names, "episode_feature_max_ts"
+    line = asked.unionByName(_day_marks(fault_runs), allowMissingColumns=True).withColumn("_t", F.unix_date("day"))
+    found = line.selectExpr(
+        "_row", *[f"{sql} AS {name}" for name, sql in formulas.items()], f"{newest} AS episode_feature_max_ts"
     )
+    return found.where(F.col("_row").isNotNull()).select("_row.*", *formulas, "episode_feature_max_ts")
 
 
 def ratio_features(df: DataFrame) -> DataFrame:
-    """Shares, ranges and rates; a zero denominator gives NULL."""
-    cells: dict[str, Column] = {
-        "hours_since_explicit_state": S.hours_between(
-            F.col("prediction_time"), F.col("last_state_ts")
-        )
-    }
-    for name, (top, bottom) in fv.RATIO_FEATURES.items():
-        cells[name] = S.ratio(F.col(top), F.col(bottom))
-    for days in (7, 30):
-        cells[f"numeric_range_{days}d"] = F.col(f"numeric_max_{days}d") - F.col(
-            f"numeric_min_{days}d"
-        )
-    cells["fault_start_ratio_7d_30d"] = S.ratio(
-        F.col("fault_starts_7d") / 7, F.col("fault_starts_30d") / 30
-    )
-    for days in (30, 90, 365):
-        cells[f"fault_day_rate_{days}d"] = F.col(f"fault_start_days_{days}d") / days
-    weekly = [F.col(f"fault_day_lag_{days}") for days in fv.EPISODE_LAGS]
-    cells["fault_weekly_repeats"] = sum(weekly[1:], weekly[0])
-    return df.withColumns(cells)
+    """Shares, ranges and rates by their formulas; a zero denominator gives NULL."""
+    return df.withColumns({name: F.expr(sql) for name, sql in fv.RATIO_FORMULAS.items()})
 
 
 def model_matrix(df: DataFrame, numeric: list[str], categorical: Sequence[str] = ()) -> DataFrame:

@@ -108,7 +108,8 @@ def gap_sessions(
     the running session number are found day by day with a carry from the days
     before, so the work of one key spreads over its days.
     """
-    instants = events.groupBy(F.col(key).alias("_key"), F.col(ts).alias("_ts")).agg(
+    # inside a struct a NULL key joins like any other
+    instants = events.groupBy(F.struct(F.col(key).alias("k")).alias("_key"), F.col(ts).alias("_ts")).agg(
         F.count("*").alias("_n")
     )
     instants = instants.withColumn("_day", F.to_date("_ts"))
@@ -126,7 +127,7 @@ def gap_sessions(
         marked, ["_key"], "_day", "_ts", {"episode_id": F.col("_opens")}
     )
     minutes = F.timestamp_diff("MICROSECOND", F.min("_ts"), F.max("_ts")) / F.lit(6e7)
-    return numbered.groupBy(F.col("_key").alias(key), "episode_id").agg(
+    return numbered.groupBy(F.col("_key.k").alias(key), "episode_id").agg(
         F.min("_ts").alias("start_ts"),
         F.max("_ts").alias("end_ts"),
         F.sum("_n").alias("messages"),

@@ -12,7 +12,6 @@ from vigil.operators import panel as P
 from vigil.operators import quality as Q
 from vigil.operators import states as ST
 from vigil.operators.asof import asof_join
-from vigil.operators.contracts import ratio_feature_names
 from vigil.plans import bindings as B
 from vigil.plans.registry import part, query
 
@@ -362,11 +361,24 @@ def _(spark, sf):
     return rounded(found, _LOGS + _SINCE, 6)
 
 
+# the check states the shares by itself instead of reading the formulas
+_SHARES = [
+    ("alarm_share_1d", "alarms_1d", "events_1d"),
+    ("fault_share_7d", "fault_messages_7d", "events_7d"),
+    ("undefined_share_7d", "undefined_messages_7d", "events_7d"),
+    ("night_share_7d", "night_events_7d", "events_7d"),
+    ("numeric_share_7d", "numeric_n_7d", "events_7d"),
+    *[(f"events_per_active_day_{d}d", f"events_{d}d", f"active_days_{d}d") for d in (7, 30)],
+    ("starts_per_fault_day_30d", "fault_starts_30d", "fault_start_days_30d"),
+    ("short_fault_share_90d", "short_fault_closes_90d", "fault_closes_90d"),
+]
+
+
 def _ratio_sql() -> str:
     cells = [
         "round(date_diff('microsecond', last_state_ts, prediction_time) / 3.6e9, 6) AS hours_since_explicit_state"
     ]
-    cells += [f"round({a} / nullif({b}, 0), 9) AS {n}" for n, (a, b) in fv.RATIO_FEATURES.items()]
+    cells += [f"round({top} / nullif({bottom}, 0), 9) AS {name}" for name, top, bottom in _SHARES]
     cells += [f"round(numeric_max_{d}d - numeric_min_{d}d, 6) AS numeric_range_{d}d" for d in (7, 30)]
     cells.append(
         "round((fault_starts_7d / 7) / nullif(fault_starts_30d / 30, 0), 9) AS fault_start_ratio_7d_30d"
@@ -382,7 +394,7 @@ def _ratio_sql() -> str:
 @query("ratio_features", _ratio_sql())
 def _(spark, sf):
     built = EF.episode_features(B.panel(spark, sf), B.fault_table(spark, sf))
-    names = ratio_feature_names()
+    names = list(fv.RATIO_FORMULAS)
     out = EF.ratio_features(built).select("channel_id", "prediction_time", *names)
     hours = ["hours_since_explicit_state", "numeric_range_7d", "numeric_range_30d"]
     rest = [n for n in names if n not in hours and n != "fault_weekly_repeats"]

@@ -117,3 +117,14 @@ def test_formulas_are_quoted(spark):
     df = spark.createDataFrame([("=1",), ("-2",), ("a=1",), (None,)], "v string")
     found = [r[0] for r in df.select(formula_safe(F.col("v"))).collect()]
     assert found == ["'=1", "'-2", "a=1", None]
+
+
+def test_only_failing_partitions_are_repaired(spark):
+    names = fv.RAW_COLUMNS
+    rows = [("e", "c", day, "10:00:00", "t", str(i)) for day in ("2024-01-01", "2024-01-02") for i in (1, 1, 2)]
+    text = spark.createDataFrame(rows, names)
+    first = text.where("raw_date = '2024-01-01'")
+    prepared = first.unionByName(text.where("raw_date = '2024-01-02'").distinct())
+    fixed, parity = Q.repaired_partitions(prepared, text, ["raw_date"])
+    assert {r["raw_date"]: r["matches"] for r in parity.collect()} == {"2024-01-01": True, "2024-01-02": False}
+    assert Q.same_content(fixed, text)

@@ -141,3 +141,25 @@ def test_half_open_day(spark):
     rows = events(spark, [(t, "s") for t in times])
     daily = rows.groupBy(F.to_date("ts").alias("day")).count()
     assert daily.where("day = '2024-01-02'").first()["count"] == 2
+
+
+def test_asof_of_missing_keys_ties_and_repeated_rows(spark):
+    noon = moment("2024-01-01 12:00:00")
+    left = spark.createDataFrame(
+        [("a", noon, 1), ("a", noon, 1), (None, noon, 2), ("a", None, 3)], "k string, t timestamp_ntz, x int"
+    )
+    early = moment("2024-01-01 06:00:00")
+    right = spark.createDataFrame([("a", early, 5), ("a", early, 7), (None, early, 9)], "k string, u timestamp_ntz, v int")
+    found = asof_join(left, right, ["k"], "t", "u", ["v"])
+    assert sorted((r["x"], r["v"]) for r in found.collect()) == [(1, 7), (1, 7), (2, None), (3, None)]
+
+
+def test_sessions_of_a_missing_key_go_on(spark):
+    start = moment("2024-01-01 23:55:00")
+    rows = spark.createDataFrame(
+        [(None, start + dt.timedelta(minutes=m)) for m in (0, 6, 12, 100)], "channel_id string, ts timestamp_ntz"
+    )
+    merged = ST.gap_sessions(rows, break_on_date=False).collect()
+    assert sorted(r["messages"] for r in merged) == [1, 3]
+    split = ST.gap_sessions(rows).collect()
+    assert sorted((r["episode_id"], r["messages"]) for r in split) == [(1, 1), (2, 2), (3, 1)]

@@ -1,5 +1,8 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from vigil import fixed_values as fv
 from vigil.operators import calendar as C
 from vigil.operators import states as ST
 from vigil.streaming import incremental as I
@@ -61,3 +64,22 @@ def test_session_windows_equal_gap_sessions(spark):
     found = I.sessions(rows, 30).select("channel_id", "start_ts", "end_ts", "messages")
     batch = ST.gap_sessions(rows, gap_minutes=30)
     assert same(found, batch.select("channel_id", "start_ts", "end_ts", "messages"))
+
+
+def test_stream_episodes_equal_batch(spark, tmp_path):
+    rows = journal(spark).withColumn("state", F.coalesce("state", F.lit(fv.NORMAL)))
+    half = F.col("ts") < F.lit(dt.datetime(2024, 1, 2, 6))
+
+    def go_on(part):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/stated")
+        stream = I.journal_stream(spark, f"{tmp_path}/stated", rows.schema, 1)
+        instants = I.run_to_table(I.state_instants(stream, "1 hour"), f"{tmp_path}/instants", f"{tmp_path}/log1")
+        again = I.journal_stream(spark, f"{tmp_path}/instants", instants.schema, None)
+        return instants, I.run_to_table(I.fault_episodes(again), f"{tmp_path}/episodes", f"{tmp_path}/log2")
+
+    go_on(rows.where(half))
+    instants, found = go_on(rows.where(~half))
+    line = ST.timeline(rows.where(F.col("ts") <= F.lit(instants.agg(F.max("ts")).first()[0])))
+    closed = line.where("next_change_ts IS NOT NULL").select("channel_id", F.col("ts").alias("start_ts"))
+    batch = ST.episodes(line).join(closed, ["channel_id", "start_ts"]).select(found.columns)
+    assert batch.count() > 5 and same(found, batch)

@@ -60,34 +60,40 @@ def reused_event_ids(clean: DataFrame) -> DataFrame:
 
 
 def year_audit(events: DataFrame, year: Column) -> DataFrame:
-    """Counts of everything unusual per file year, in one aggregation."""
+    """Counts of everything unusual per file year.
+
+    Channels and identifiers are reduced to distinct pairs with the year by
+    themselves, so that no row is copied for a second distinct count.
+    """
     channel, event = F.col("channel_id"), F.col("event_id")
-    return (
-        events.withColumn("year", year)
-        .groupBy("year")
-        .agg(
-            F.count("*").alias("rows"),
-            F.min("ts").alias("min_ts"),
-            F.max("ts").alias("max_ts"),
-            F.count_distinct("channel_id").alias("channels"),
-            S.count_if(F.col("alarm")).alias("alarms"),
-            S.count_if(F.col("ts").isNull()).alias("bad_ts"),
-            S.count_if(F.year("ts") != F.col("year")).alias("wrong_year"),
-            S.count_if(F.col("alarm").isNull()).alias("bad_alarm"),
-            S.count_if(event.isNull() | (event == "")).alias("missing_event_id"),
-            S.count_if(channel.isNull() | (channel == "")).alias("missing_channel_id"),
-            S.count_if(channel.isNotNull() & channel.try_cast("long").isNull()).alias(
-                "noninteger_channel_id"
-            ),
-            S.count_if(F.col("sensor_type").isNull()).alias("unknown_channel_rows"),
-            S.count_if(F.col("object_id").isNull()).alias("missing_object_rows"),
-            S.count_if(F.col("nonfinite")).alias("nonfinite_rows"),
-            S.count_if(F.coalesce(F.trim("value_raw"), F.lit("")) == "").alias(
-                "missing_value_rows"
-            ),
-            (F.count("*") - F.count_distinct("event_id")).alias("repeated_or_null_event_ids"),
-        )
+    dated = events.withColumn("year", year)
+
+    def variety(column: str, name: str) -> DataFrame:
+        pairs = dated.where(F.col(column).isNotNull()).select("year", column).distinct()
+        return pairs.groupBy(F.col("year").alias("_year")).agg(F.count("*").alias(name))
+
+    counts = dated.groupBy("year").agg(
+        F.count("*").alias("rows"),
+        F.min("ts").alias("min_ts"),
+        F.max("ts").alias("max_ts"),
+        S.count_if(F.col("alarm")).alias("alarms"),
+        S.count_if(F.col("ts").isNull()).alias("bad_ts"),
+        S.count_if(F.year("ts") != F.col("year")).alias("wrong_year"),
+        S.count_if(F.col("alarm").isNull()).alias("bad_alarm"),
+        S.count_if(event.isNull() | (event == "")).alias("missing_event_id"),
+        S.count_if(channel.isNull() | (channel == "")).alias("missing_channel_id"),
+        S.count_if(channel.isNotNull() & channel.try_cast("long").isNull()).alias("noninteger_channel_id"),
+        S.count_if(F.col("sensor_type").isNull()).alias("unknown_channel_rows"),
+        S.count_if(F.col("object_id").isNull()).alias("missing_object_rows"),
+        S.count_if(F.col("nonfinite")).alias("nonfinite_rows"),
+        S.count_if(F.coalesce(F.trim("value_raw"), F.lit("")) == "").alias("missing_value_rows"),
     )
+    for column, name in (("channel_id", "channels"), ("event_id", "_events")):
+        found = variety(column, name)
+        counts = counts.join(found, F.col("year").eqNullSafe(F.col("_year")), "left").drop("_year")
+    none = F.lit(0).cast("long")
+    repeated = F.col("rows") - F.coalesce("_events", none)
+    return counts.withColumns({"channels": F.coalesce("channels", none), "repeated_or_null_event_ids": repeated}).drop("_events")
 
 
 def row_balance(audit: DataFrame, copies: DataFrame) -> DataFrame:
@@ -137,6 +143,22 @@ def repaired_source(prepared: DataFrame, from_text: DataFrame) -> tuple[DataFram
     return (prepared if matches else from_text), matches
 
 
+def repaired_partitions(
+    prepared: DataFrame, from_text: DataFrame, by: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The prepared journal with only its failing partitions taken from the text, and the first parity.
+
+    The parity of the result is checked once more; a partition that still
+    differs is an error.
+    """
+    parity = source_parity(prepared, from_text, by)
+    failing = parity.where(~F.col("matches")).select(*by)
+    fixed = prepared.join(failing, by, "left_anti").unionByName(from_text.join(failing, by, "left_semi"))
+    if not source_parity(fixed, from_text, by).where(~F.col("matches")).isEmpty():
+        raise AuditError("partitions differ from their text after the repair")
+    return fixed, parity
+
+
 def source_parity(prepared: DataFrame, from_text: DataFrame, by: list[str]) -> DataFrame:
     """Parity of two sources per group (usually the year), as a table."""
 

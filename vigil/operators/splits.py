@@ -214,9 +214,12 @@ def hash_sample(
     seed: int = 42,
     key: Sequence[str] = KEY,
     by: Sequence[str] = (),
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """The ``n`` rows with the smallest hashes (per group): a repeatable sample.
 
+    Rows that share a key are ordered by the columns ``ties``.
+
     Equal to ordering by the hash and taking the first ``n``, but without one
     task that sees them all: rows are counted per leading hash digits, running
     counts over those few buckets show which buckets are needed, and only there
@@ -231,7 +234,7 @@ def hash_sample(
         .where(F.col("_before") < n)
         .drop("_n")
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_order", *key)
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_order", *key, *ties)
     numbered = hashed.join(needed, [*by, "_bucket"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside)
     )
@@ -253,8 +256,8 @@ def day_sample(rows: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
 
 
 def key_overlap(left: DataFrame, right: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Keys present in both of two splits, as a count."""
-    shared = left.select(*key).join(right.select(*key), list(key))
+    """Keys present in both of two splits, each counted once."""
+    shared = left.select(*key).distinct().join(right.select(*key).distinct(), list(key))
     return shared.agg(F.count("*").alias("overlapping_keys"))
 
 

@@ -49,6 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed journal of all events."""
+    return as_journal(table(spark, sf_dir, "events"))
+
+
+def as_journal(events: DataFrame) -> DataFrame:
     value, kind = F.col("value"), F.col("event_type")
     state = (
         F.when((kind == "signup") & (value > 100), F.lit("disabled"))
@@ -57,7 +61,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(kind)
     )
     measured = kind.isin("click", "signup", "purchase")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("channel_id"),
         "ts",
@@ -81,6 +85,10 @@ FROM events"""
 
 
 def raw_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_raw_journal(table(spark, sf_dir, "events"))
+
+
+def as_raw_journal(events: DataFrame) -> DataFrame:
     """The same events as six text columns, with the faults a raw journal has.
 
     Identifiers are reused, alarms appear in every spelling, numbers use a
@@ -112,7 +120,7 @@ def raw_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = F.when((kind == "signup") & (value < 1), F.lit("время")).otherwise(
         F.date_format("ts", "HH:mm:ss")
     )
-    once = table(spark, sf_dir, "events").select(
+    once = events.select(
         F.get_json_object("props", "$.k").alias("event_id"),
         channel.alias("channel_id"),
         F.date_format("ts", "yyyy-MM-dd").alias("raw_date"),

@@ -8,6 +8,8 @@ from vigil.plans import queries_panel  # noqa: F401
 from vigil.plans import queries_splits  # noqa: F401
 from vigil.plans import queries_scores  # noqa: F401
 from vigil.plans import queries_risk  # noqa: F401
+from vigil.plans import queries_faults  # noqa: F401
+from vigil.plans import queries_stream  # noqa: F401
 from vigil.plans.registry import QUERIES, Query, oracle
 
 

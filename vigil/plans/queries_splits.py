@@ -258,30 +258,19 @@ _LINE_KEY = ["order_id", "line", "channel_id"]
 _LINE_COLUMNS = "order_id, line, channel_id, label"
 
 
-part(
-    "lines_t",
-    "SELECT order_id, line, channel_id, max(label) AS label FROM scored_t GROUP BY ALL HAVING count(*) = 1",
-)
-
-
-def _unique_lines(spark, sf):
-    groups = B.scored(spark, sf).groupBy(*_LINE_KEY).agg(
-        F.max("label").alias("label"), F.count("*").alias("_n")
-    )
-    return groups.where("_n = 1").drop("_n")
-
-
-@query("hash_sample", f"SELECT {_LINE_COLUMNS} FROM lines_t ORDER BY {_ORDER} LIMIT 2500")
+@query("hash_sample", f"SELECT {_LINE_COLUMNS} FROM scored_t ORDER BY {_ORDER}, label LIMIT 2500")
 def _(spark, sf):
-    return SP.hash_sample(_unique_lines(spark, sf), 2500, key=_LINE_KEY)
+    rows = B.scored(spark, sf).select(*_LINE_KEY, "label")
+    return SP.hash_sample(rows, 2500, key=_LINE_KEY, ties=["label"])
 
 
 @query(
     "class_sample",
-    f"SELECT {_LINE_COLUMNS} FROM lines_t QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_ORDER}) <= 5000",
+    f"SELECT {_LINE_COLUMNS} FROM scored_t QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_ORDER}) <= 5000",
 )
 def _(spark, sf):
-    return SP.class_sample(_unique_lines(spark, sf), "label", 5000, key=_LINE_KEY)
+    # rows of one class and key are alike in these columns
+    return SP.class_sample(B.scored(spark, sf).select(*_LINE_KEY, "label"), "label", 5000, key=_LINE_KEY)
 
 
 @query(
@@ -300,10 +289,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = split_rows(spark, sf)
-    halves = [rows.where(F.col("split") == s).select("channel_id").distinct() for s in ("train", "test")]
+    halves = [rows.where(F.col("split") == s) for s in ("train", "test")]
     return SP.key_overlap(*halves, key=["channel_id"])
 
 
+@query(
+    "key_overlap_composite",
+    """SELECT count(*) AS overlapping_keys FROM
+         (SELECT channel_id, line, kind FROM scored_t WHERE prediction_time < TIMESTAMP '1997-01-01'
+          INTERSECT SELECT channel_id, line, kind FROM scored_t WHERE prediction_time >= TIMESTAMP '1997-01-01')""",
+)
+def _(spark, sf):
+    rows, early = B.scored(spark, sf), F.col("prediction_time") < F.lit("1997-01-01").cast("timestamp_ntz")
+    return SP.key_overlap(rows.where(early), rows.where(~early), key=["channel_id", "line", "kind"])
+
+
 @query(
     "holdout_drift",
     f"""SELECT split, count(*) AS rows,

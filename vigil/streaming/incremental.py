@@ -6,17 +6,23 @@ same rows) and bounds its state by a watermark on the event time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv
 from vigil.functions import scalars as S
 from vigil.operators.calendar import StateWords
+from vigil.operators.states import with_states
 
 
-def journal_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
-    """Typed journal files as they arrive."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+def journal_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 16) -> DataFrame:
+    """Typed journal files as they arrive; with None all that are there make one batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
 
 
@@ -77,3 +83,57 @@ def sessions(
         )
         .drop("_run")
     )
+
+
+def state_instants(events: DataFrame, delay: str = "1 day", words: StateWords = StateWords()) -> DataFrame:
+    """One row per channel and instant with an explicit state, once the watermark has passed it.
+
+    ``state`` is that of all messages of the instant, else NULL: they have no
+    known order.
+    """
+    stated = with_states(events, [words.fault, words.normal])
+    instants = _timed(stated, delay).groupBy("channel_id", "event_time")
+    found = instants.agg(F.max("ts").alias("ts"), F.min("state").alias("_lo"), F.max("state").alias("_hi"))
+    return found.select("channel_id", "ts", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("state"))
+
+
+_EPISODES = "channel_id string, start_ts timestamp_ntz, end_ts timestamp_ntz, observed_start boolean, ambiguous_end boolean"
+
+
+def fault_episodes(instants: DataFrame, words: StateWords = StateWords()) -> DataFrame:
+    """Fault runs of a stream of instants, each given out by the change that ends it.
+
+    ``instants`` is the written result of ``state_instants``, read as a stream
+    without a limit of files: the watermark lets each run write later instants
+    than all before, so the state of a channel is its last state and the start
+    of an open run.  A batch of a channel holds distinct instants only.
+    """
+    fault, normal = words.fault, words.normal
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, began = state.get if state.exists else (None, None)
+        out = []
+        for at, now in sorted((t, s if isinstance(s, str) else "") for c in chunks for t, s in zip(c["ts"], c["state"])):
+            if now == last:
+                continue
+            if last == fault:
+                start, observed = began.split("|")
+                out.append((key[0], pd.Timestamp(start), at if now == normal else pd.NaT, observed == "1", now == ""))
+            if now == fault:
+                began = f"{at.isoformat()}|{int(last == normal)}"
+            last = now
+        state.update((last, began))
+        if out:
+            yield pd.DataFrame(out, columns=["channel_id", "start_ts", "end_ts", "observed_start", "ambiguous_end"])
+
+    return instants.groupBy("channel_id").applyInPandasWithState(
+        step, _EPISODES, "last string, began string", "append", "NoTimeout"
+    )
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All files there are now, appended to a Parquet table; a later call goes on where this one stopped."""
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    run = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -20,7 +20,7 @@ _FAULTS = [
     ("feature_max_ts", "events_1d = 2", "prediction_time"),
     ("feature_max_ts", "events_1d = 3", "NULL"),
     ("last_state_ts", "events_7d = 3", "prediction_time + INTERVAL 1 HOUR"),
-    ("last_explicit_state", "events_7d = 2", "'lost'"),
+    ("last_explicit_state", "events_7d IN (2, 15)", "'lost'"),
     (LABEL, f"day(prediction_time) = 12 AND {LABEL} IS NOT NULL", "2"),
     ("events_30d", "events_7d = 4", "3"),
     ("numeric_n_1d", "numeric_n_1d = 1", "0"),
@@ -152,15 +152,15 @@ def _(spark, sf):
 @query(
     "state_conflicts_found",
     """SELECT p_brand AS sensor_type, p_size % 5 AS state_set, lower(split_part(p_type, ' ', 1)) AS state,
-       count(DISTINCT p_retailprice > 1450) AS alarm_variants FROM part GROUP BY ALL
-       HAVING count(DISTINCT p_retailprice > 1450) > 1""",
+       count(DISTINCT p_retailprice > 950) AS alarm_variants FROM part GROUP BY ALL
+       HAVING count(DISTINCT p_retailprice > 950) > 1""",
 )
 def _(spark, sf):
     states = B.table(spark, sf, "part").select(
         F.col("p_brand").alias(fv.SENSOR_TYPE),
         (F.col("p_size") % 5).alias(fv.STATE_SET),
         S.normal_text(F.substring_index("p_type", " ", 1)).alias("state"),
-        F.when(F.col("p_retailprice") > 1450, "true").otherwise("false").alias(fv.STATE_ALARM),
+        F.when(F.col("p_retailprice") > 950, "true").otherwise("false").alias(fv.STATE_ALARM),
     )
     return Q.state_conflicts(states)
 

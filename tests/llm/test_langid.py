@@ -33,6 +33,20 @@ def test_texts_of_no_learned_language_are_rejected(spark, documents):
     assert got[0].rejected
 
 
+def test_a_language_that_is_left_out_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").cache()
+    for left in ("en", "de", "fr", "es"):
+        learned = langid.learn(docs.where(docs.lang != left))
+        assert left not in learned.names
+        rows = langid.identify(docs, learned, ["doc_id", "lang", "text"]).collect()
+        strange = [r.rejected for r in rows if r.lang == left and len(r.text.encode()) >= 256]
+        short = [r.rejected for r in rows if r.lang == left and 100 <= len(r.text.encode()) < 256]
+        others = [r.rejected for r in rows if r.lang != left and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+        assert sum(strange) > 0.9 * len(strange)
+        assert sum(short) >= 0.5 * len(short)
+        assert sum(others) <= 0.02 * len(others)
+
+
 def test_nothing_learned(spark, documents):
     docs = documents([(1, "some text", None, "s", 1), (2, None, "en", "s", 1)])
     learned = langid.learn(docs)

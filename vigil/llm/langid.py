@@ -7,19 +7,26 @@ so that a long text cannot become its own dictionary.  Where the two best are
 close, the blocks are compressed once more in much smaller pieces, which leaves
 even less to the text itself, and both sums count.
 
-A text is rejected if it is null or has no letter (``und``), or if it is long
-enough to judge and the margin still is narrow: then it fits no learned language.
+A text is rejected if it is null or has no letter (``und``), or if its margin is
+narrower than texts of its length show in a learned language: then it fits none.
+How narrow that is comes from the sample: its rows are classified by what is left
+of it without them, cut to several lengths.  Where even rows of learned languages
+show no margin, as in the shortest texts, none is rejected for it.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; equal
 sizes go to the language with more learned rows, then to the smaller name; rows
 with a null id are predicted and never learned from; repeated rows get equal
 results and one place in a sample; without any learned language every text is
-``und``; other columns are not read.
+``und``; with one learned language, or fewer than ``LEAST`` margins of every
+length, no text is rejected for its margin; other columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from math import log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +40,20 @@ SAMPLE_ROWS, SAMPLE_CHARS = 64, 4096
 BLOCK, PIECE = 2048, 64
 #: Relative distance of the two best below which a second look is taken.
 CLOSE = 0.03
-#: Texts of so many bytes are rejected at a relative margin below NARROW.
-JUDGED, NARROW = 256, 0.005
+#: Lengths in bytes whose limits are learned, margins a limit needs, rows classified for all languages together.
+LENGTHS, LEAST, JUDGED_ROWS = (32, 64, 128, 256, 512, 1024, BLOCK), 20, 512
+#: Parts of a sample, each classified by the others; the limit is SHARE of the margins' quantile LOW.
+PARTS, LOW, SHARE = 4, 0.05, 0.4
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Languages:
-    """Learned names, most rows first, and their samples."""
+    """Learned names, most rows first, their samples, and least margins: (bytes, margin) by bytes."""
 
     names: list[str]
     samples: list[bytes]
+    limits: list[tuple[int, float]] = field(default_factory=list)
 
 
 def learn(
@@ -77,11 +87,51 @@ def learn(
     for p in picked:
         count[p["_lang"]] = count.get(p["_lang"], 0) + p["_rows"]
     names = sorted(count, key=lambda x: (-count[x], x))
-    texts = {name: sorted((r["_hash"], r["_text"]) for r in found if r["_lang"] == name) for name in names}
-    return Languages(names, ["\n".join(x for _, x in texts[name]).lower().encode() for name in names])
+    texts = [[x for _, x in sorted((r["_hash"], r["_text"]) for r in found if r["_lang"] == name)] for name in names]
+    return Languages(names, [joined(rows) for rows in texts], least_margins(names, texts))
 
 
-def classifier(languages: Languages):
+def joined(rows: list[str]) -> bytes:
+    return "\n".join(rows).lower().encode()
+
+
+def least_margins(names: list[str], texts: list[list[str]]) -> list[tuple[int, float]]:
+    """The least margin of a text of a learned language by length, from samples without the rows they classify.
+
+    A row that goes to another language counts with its margin below zero.
+    """
+    margins: dict[int, list[float]] = {n: [] for n in LENGTHS}
+    each = max(1, JUDGED_ROWS // max(1, len(names)))
+    for part in range(PARTS):
+        rest = [joined([x for i, x in enumerate(rows) if i % PARTS != part]) for rows in texts]
+        learned = [(name, sample) for name, sample in zip(names, rest) if sample]
+        if len(learned) < 2:
+            continue
+        classify = classifier(Languages(*map(list, zip(*learned))))
+        for name, rows, sample in zip(names, texts, rest):
+            for row in rows[:each][part::PARTS] if sample else []:
+                data = row.lower().encode()
+                for n in LENGTHS:
+                    if len(data) < n:
+                        break
+                    at = (len(data) - n) // 2
+                    best, _, margin, _ = classify(data[at : at + n].decode(errors="ignore"))
+                    if best != UNKNOWN:
+                        margins[n].append(margin if best == name else -margin)
+    found = [(n, sorted(some)) for n, some in margins.items() if len(some) >= LEAST]
+    return [(n, max(0.0, SHARE * some[int(LOW * len(some))])) for n, some in found]
+
+
+def least_margin(limits: list[tuple[int, float]], size: int) -> float:
+    """Between learned lengths in proportion to the logarithm; 0 below the first, the last one's beyond."""
+    after = bisect_right(limits, size, key=lambda x: x[0])
+    if after in (0, len(limits)):
+        return limits[-1][1] if after else 0.0
+    (a, low), (b, high) = limits[after - 1 : after + 1]
+    return low + (high - low) * log2(size / a) / log2(b / a)
+
+
+def classifier(languages: Languages) -> Callable[[str | None], tuple[str, float, float, bool]]:
     """A function from a text to (name, score, margin, rejected)."""
     import zstandard as z
 
@@ -113,7 +163,7 @@ def classifier(languages: Languages):
         best = min(found)
         margin = distance(found)
         score = 1 / sum(2.0 ** -min(size - best, 60) for size in found)
-        return languages.names[found.index(best)], score, margin, len(data) >= JUDGED and margin < NARROW
+        return languages.names[found.index(best)], score, margin, margin < least_margin(languages.limits, len(data))
 
     return classify
 

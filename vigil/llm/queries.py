@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, graph_index, langid, merkle, mixing, personal, pivots, quality, repeats, secrets, simhash
+from vigil.llm import alignment, bpe, graph_index, langid, merkle, mixing, personal, pivots, quality, repeats, secrets, simhash
 from vigil.llm.checks import ORACLE
 from vigil.llm.common import held_out, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignment_rows(docs: DataFrame) -> DataFrame:
+    return alignment.align(docs, ["doc_id"], BYTE_BPE, PIECES)
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_rows(table(spark, sf_dir, "documents"))
+
+
 def merkle_rows(docs: DataFrame) -> DataFrame:
     """Manifest of a documents table; every row whose id's crc32 is a multiple of 7 claims one more character."""
     claims = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
@@ -151,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_pivot_search,
         op10_repeats,
+        op11_alignment,
         op12_merkle_manifest,
         pipeline,
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import alignment, bpe, graph_index, langid, merkle, mixing, personal, pivots, quality, repeats, secrets, simhash
+from vigil.llm import alignment, bpe, graph_index, langid, merkle, mixing, personal, pivots, quality, repeats, secrets, simhash, sketches
 from vigil.llm.checks import ORACLE
 from vigil.llm.common import held_out, table
 
@@ -141,6 +141,24 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(table(spark, sf_dir, "documents"))
 
 
+def sketch_rows(docs: DataFrame) -> DataFrame:
+    rows = sketches.with_next_and_edited(docs)
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketches.written(own).alias("fingerprint"),
+        sketches.written(edited).alias("edited_fingerprint"),
+        sketches.containment(own, edited).alias("near_edited"),
+        sketches.containment(own, after).alias("near_next"),
+    )
+
+
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_rows(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -162,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_repeats,
         op11_alignment,
         op12_merkle_manifest,
+        op13_scaled_sketch,
         pipeline,
     )
 }

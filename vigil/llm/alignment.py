@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ from vigil.session import materialize
 #: Characters of the distinct texts of a block.
 BLOCK = 1 << 22
 #: Characters of the pieces a worker remembers before it starts anew.
-REMEMBERED = 1 << 23
+REMEMBERED = 1 << 25
 #: What is given out for each text.
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -82,6 +83,7 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.names = [str(i) for i in range(max(size, len(pieces)))]
         self.space = self.b.piece_to_id("▁")
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.known: dict[str, tuple] = {}
@@ -109,24 +111,27 @@ class Aligner:
                 self.held += len(piece) + 64
 
     def align(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
-        """Tokens of A, of B, groups written out and links (A id << 32 | B id); None where bytes get lost."""
+        """Tokens of A, of B, groups written out, packed links (A id << 32 | B id); None where bytes get lost."""
         mine, theirs = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         whole = (" " + piece).encode()
         if b"".join(mine) != whole or b"".join(theirs) != whole:
             return None
-        groups, links, i, j, at_a, at_b, first, second = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(mine[i])
-                i += 1
-            else:
+        name = self.names
+        if len(a) == 1 or len(b) == 1:  # they end together at the end alone
+            written = ",".join([name[i] for i in a]) + "|" + ",".join([name[i] for i in b])
+            return len(a), len(b), written, struct.pack("<q", a[-1] << 32 | b[-1])
+        groups, links, j, at_b, first, second = [], [], 0, 0, 0, 0
+        at_a = 0
+        for i, size in enumerate(map(len, mine), 1):
+            at_a += size
+            while at_b < at_a:
                 at_b += len(theirs[j])
                 j += 1
             if at_a == at_b:
-                groups.append(",".join(map(str, a[first:i])) + "|" + ",".join(map(str, b[second:j])))
+                groups.append(",".join([name[k] for k in a[first:i]]) + "|" + ",".join([name[k] for k in b[second:j]]))
                 links.append(a[i - 1] << 32 | b[j - 1])
                 first, second = i, j
-        return len(a), len(b), ";".join(groups), np.array(links, dtype=np.int64)
+        return len(a), len(b), ";".join(groups), struct.pack(f"<{len(links)}q", *links)
 
     def of_texts(self, texts: list[str]) -> list[tuple | None]:
         """(A tokens, B tokens, digest of the groups, links) of each text, None where it has no tokens."""
@@ -143,7 +148,7 @@ class Aligner:
                 continue
             n_a, n_b, groups, links = zip(*found)
             written = hashlib.sha256(";".join(groups).encode()).hexdigest()
-            out.append((sum(n_a), sum(n_b), written, np.concatenate(links)))
+            out.append((sum(n_a), sum(n_b), written, np.frombuffer(b"".join(links), "<i8")))
         return out
 
 

@@ -28,10 +28,10 @@ def brute_likeness(a, b):
 
 
 def brute(rows):
-    """All rows in one list, by descending id (none last), then digest of the text."""
+    """All rows in one list, by descending id (none last), then digest of id and text."""
     order = sorted(
         ((i, t or "") for i, t in rows),
-        key=lambda r: (r[0] is None, -(r[0] or 0), sha256(r[1].encode()).digest()),
+        key=lambda r: (r[0] is None, -(r[0] or 0), sha256(f"{'-' if r[0] is None else r[0]} {r[1]}".encode()).digest()),
     )
     out = []
     for at, (i, text) in enumerate(order):

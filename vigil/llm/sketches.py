@@ -114,48 +114,45 @@ def fingerprints(df: DataFrame, kept: list[str], text: str = "text") -> DataFram
 def with_next_and_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with the sketches of its own, its edited and the next document's text.
 
-    Next: by descending id (null last), then digest of the text; the first
+    Next: by descending id (null last), then digest of id and text; the first
     follows the last.  Edited: the last third of the code points (rounded down)
     replaced by as many of the next text's first ones.  Columns: ``doc_id``,
     ``n_chars``, ``edited_sha256``, ``sketch``, ``edited_sketch``, ``next_sketch``.
 
-    The order is found on ids, digests and packed sketches alone.  Of the next
-    text only the part that is needed is shuffled to the document.  Rows alike
-    in id and text are one until the end: all but the last of them are followed
-    by their like.
+    The order is found on ids and digests alone.  Of the next text only the
+    part that is needed is shuffled to the document.  Rows alike in id and text
+    are one until the end: all but the last of them are followed by their like.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = df.select(F.col(f"`{doc_id}`").alias("_id"), value.alias("_text"))
-    keyed = keyed.withColumn("_key", F.unhex(F.sha2("_text", 256)))
-    narrow = keyed.groupBy("_id", "_key", F.length("_text").alias("_n"), packed(sketch(F.col("_text"))).alias("_own"))
-    narrow = narrow.agg(F.count("*").alias("_copies"))
-    placed = materialize(positions(narrow, [], [F.col("_id").desc_nulls_last(), F.col("_key")], "_pos", "_size"), "order")
-    names = {"_next_id": "_id", "_next_key": "_key", "_next": "_own"}
-    after = placed.select(F.col("_pos").alias("_at"), *[F.col(c).alias(n) for n, c in names.items()])
+    whole = F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.lit(" "), F.col("_text"))
+    keyed = keyed.withColumn("_key", F.unhex(F.sha2(whole, 256)))  # never null, so joins reuse one exchange
+    alike = keyed.groupBy("_key", "_id", F.length("_text").alias("_n"), packed(sketch(F.col("_text"))).alias("_own"))
+    alike = materialize(alike.agg(F.count("*").alias("_copies")), "sketches")
+    placed = positions(alike.drop("_own"), [], [F.col("_id").desc_nulls_last(), F.col("_key")], "_pos", "_size")
+    after = placed.select(F.col("_pos").alias("_at"), F.col("_key").alias("_next_key"))
     beside = placed.join(after, F.pmod(F.col("_pos") + 1, F.col("_size")) == F.col("_at"))
     # one row asks for the next text, further ones for as many rows alike each as one row may stand for
-    alike = F.col("_copies") - 1
-    following = F.struct(*names, F.lit(1).cast("long").alias("_rows"))
+    more = F.col("_copies") - 1
+    following = F.struct("_next_key", F.lit(1).cast("long").alias("_rows"))
     itself = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.greatest(alike - 1, F.lit(0)), F.lit(REPEATS).cast("long")),
-        lambda i: F.struct(
-            *[F.col(c).alias(n) for n, c in names.items()], F.least(F.lit(REPEATS).cast("long"), alike - i).alias("_rows")
-        ),
+        F.sequence(F.lit(0).cast("long"), F.greatest(more - 1, F.lit(0)), F.lit(REPEATS).cast("long")),
+        lambda i: F.struct(F.col("_key").alias("_next_key"), F.least(F.lit(REPEATS).cast("long"), more - i).alias("_rows")),
     )
-    every = F.when(alike > 0, F.concat(F.array(following), itself)).otherwise(F.array(following))
-    asks = beside.select("_id", "_key", "_n", "_own", F.explode(every).alias("_ask"))
+    every = F.when(more > 0, F.concat(F.array(following), itself)).otherwise(F.array(following))
     third = F.floor(F.col("_n") / 3).cast("int")
-    asks = asks.select("_id", "_key", "_own", third.alias("_third"), (F.col("_n") - third).alias("_left"), "_ask.*")
-    texts = keyed.groupBy("_id", "_key").agg(F.min("_text").alias("_text"))
-    source = texts.select(F.col("_id").alias("_of_id"), F.col("_key").alias("_of_key"), F.col("_text").alias("_of_text"))
-    same = F.col("_of_id").eqNullSafe(F.col("_next_id")) & (F.col("_of_key") == F.col("_next_key"))
-    parts = asks.join(source, same).select(
-        F.col("_id").alias("_for_id"), F.col("_key").alias("_for_key"), "_own", "_next", "_left", "_rows",
-        F.substring("_of_text", F.lit(1), F.col("_third")).alias("_part"),
+    asks = beside.select(
+        F.col("_key").alias("_for_key"), "_id", third.alias("_third"), (F.col("_n") - third).alias("_left"),
+        F.explode(every).alias("_ask"),
+    ).select("_for_key", "_id", "_third", "_left", "_ask.*")
+    texts = keyed.groupBy("_key").agg(F.min("_text").alias("_text")).join(alike.select("_key", "_own"), "_key")
+    parts = asks.join(texts, F.col("_next_key") == F.col("_key")).select(
+        "_for_key", "_id", "_left", "_rows",
+        F.col("_own").alias("_next"), F.substring("_text", F.lit(1), F.col("_third")).alias("_part"),
     )
-    same = F.col("_id").eqNullSafe(F.col("_for_id")) & (F.col("_key") == F.col("_for_key"))
     edited = F.concat(F.substring("_text", F.lit(1), F.col("_left")), "_part").alias("_edited")
-    both = texts.join(parts, same).select("_id", F.length("_text").cast("long").alias("n_chars"), "_own", "_next", "_rows", edited)
+    both = texts.join(parts, F.col("_key") == F.col("_for_key"))
+    both = both.select("_id", F.length("_text").cast("long").alias("n_chars"), "_own", "_next", "_rows", edited)
     found = both.select(
         F.col("_id").alias("doc_id"),
         "n_chars",

@@ -135,10 +135,24 @@ def build(
     shuffle on the channel serves the grid and all rolling features.  A channel
     has one row per day there, so no key is large.
     """
-    short, week, month = windows[0], windows[-2], windows[-1]
     states = ST.day_states(transitions, words.fault, words.normal)
     days = daily.drop("hour_mask").join(states, ["channel_id", "day"], "left")
     rolled = rolling_features(_grid(days, lookback), windows, active_windows, lookback)
+    return finish(rolled, coverage, meta, words, windows, active_windows, lookback, min_history_days)
+
+
+def finish(
+    rolled: DataFrame,
+    coverage: DataFrame,
+    meta: DataFrame,
+    words: C.StateWords = C.StateWords(),
+    windows: Sequence[int] = fv.PANEL_WINDOWS,
+    active_windows: Sequence[int] = fv.ACTIVE_WINDOWS,
+    lookback: int = fv.LOOKBACK_DAYS,
+    min_history_days: int = fv.MIN_HISTORY_DAYS,
+) -> DataFrame:
+    """Panel from rolling measures: coverage, attributes, ratios and labels, row by row."""
+    short, week, month = windows[0], windows[-2], windows[-1]
     # One row per calendar date, so the size is bounded by the dates there are.
     dates = C.coverage_features(coverage, [short, week, lookback]).withColumn(
         "_t", F.unix_date("day")

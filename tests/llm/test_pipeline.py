@@ -30,9 +30,9 @@ def stages(spark):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert set(QUERIES) <= set(entry.queries())
-    assert {"op3_secrets", "op9_pivot_search", "op10_repeats"} <= set(entry.oracle_sql())
+    assert {"op3_secrets", "op9_pivot_search", "op10_repeats", "op12_merkle_manifest"} <= set(entry.oracle_sql())
 
 
 def test_stages_keep_the_columns_of_documents(spark):

@@ -199,3 +199,25 @@ def round_trip(df: DataFrame, kept: list[str], path: str, pattern: str, text: st
         return work
 
     return map_texts(df, kept, make, "ids binary, decoded binary", text)
+
+
+def checked_ids(df: DataFrame, kept: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``kept``, ``ids`` as by ``encode`` and ``decodes``: whether they give the text back.
+
+    Ids are decoded and compared where they are made, so neither texts nor
+    decoded bytes leave the worker.
+    """
+    pieces = read_ranks(path)
+    shared = df.sparkSession.sparkContext.broadcast((model_bytes(pieces), pieces))
+
+    def make():
+        model, known = shared.value
+        into, back = encoder(model, known, pattern), decoder(known)
+
+        def work(texts):
+            ids = into([t or "" for t in texts])
+            return [ids, [back(x) == (t or "").encode() for x, t in zip(ids, texts)]]
+
+        return work
+
+    return map_texts(df, kept, make, "ids binary, decodes boolean", text)

@@ -21,37 +21,45 @@ from vigil.session import materialize
 
 COLUMNS = list(DOCUMENT_COLUMNS)
 
+#: Bytes of texts that go to a Python worker at once; a longer text goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def sent_in_parts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents; from now on the session sends them to Python in bounded batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(*COLUMNS)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
-    docs = docs.select(*COLUMNS)
+    docs = sent_in_parts(spark, docs)
     found = langid.identify(docs, langid.learn(docs), COLUMNS)
     return found.where(~F.col("rejected")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs.select(*COLUMNS), words=simhash.SHINGLE, bits=simhash.BITS)
+    return simhash.keep_one(sent_in_parts(spark, docs), words=simhash.SHINGLE, bits=simhash.BITS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and their new lengths."""
-    found = personal.redact(docs.select(*COLUMNS), spans="_redacted")
+    found = personal.redact(sent_in_parts(spark, docs), spans="_redacted")
     length = F.when(F.size("_redacted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mix(docs.select(*COLUMNS))
+    return mixing.mix(sent_in_parts(spark, docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
     kept = ["doc_id", "lang", "source"]
-    back = bpe.round_trip(docs.select(*COLUMNS), [*kept, "text"], VOCABULARY, PATTERN)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select(*kept, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    rows = bpe.checked_ids(sent_in_parts(spark, docs), kept, VOCABULARY, PATTERN)
+    return rows.select(*kept, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars as S
-from vigil.operators.ordered import FIRST, number_rows, running_totals
+from vigil.operators.ordered import FIRST
 from vigil.operators.quantiles import with_quantiles
+from vigil.operators.ranges import running
 
 EPS = 1e-8
-SCORE_BUCKETS_PER_UNIT = 32
+#: Chances of at most 0, 1, 2, ... draws of a channel in a bootstrap repeat (Poisson with mean one).
+DRAWN_AT_MOST = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
 
 
 def scored(score: Column) -> Column:
@@ -30,16 +33,6 @@ def _alert(score: str, level: Column) -> Column:
     return F.coalesce(scored(F.col(score)) & (F.col(score) >= level), F.lit(False))
 
 
-def _score_bucket(score: Column) -> Column:
-    """Bucket of a probability on the log-odds scale.
-
-    Monotone in the score and fine where scores crowd near zero or one, so that
-    a curve of many distinct scores is cut into many small ordered pieces.
-    """
-    p = clipped(score, 1e-12)
-    return F.floor(F.ln(p / (1 - p)) * SCORE_BUCKETS_PER_UNIT).cast("int")
-
-
 def _weight(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1)
 
@@ -67,32 +60,19 @@ def pr_curve(
 ) -> DataFrame:
     """Precision, recall and F1 at every distinct score.
 
-    Rows are first reduced to distinct scores; running totals over those go
-    bucket by bucket of the score with a carry between buckets, so the curve is
-    exact and no window ever holds all scores.
+    Rows are first reduced to distinct scores; those are cut into ranges of
+    about equal size, whose running totals carry on from piece to piece, so the
+    curve is exact and no window ever holds all scores.
     """
-    keys = [F.col(c) for c in by]
     scores = by_score(df, label, score, weight, by)
-    # A group may be NULL; equi-joins inside would lose it, a struct keeps it.
-    held = scores.select(
-        F.struct(*keys, F.lit(0).alias("_")).alias("_by"), "threshold", "tp", "n"
-    ).withColumn("_bucket", _score_bucket(F.col("threshold")))
-    totals = held.groupBy("_by").agg(
-        F.sum("tp").alias("positives"), F.sum("n").alias("total")
-    )
-    run = running_totals(
-        held,
-        ["_by"],
-        "_bucket",
-        "threshold",
-        {"cum_tp": F.col("tp"), "cum_n": F.col("n")},
-        descending=True,
-    ).join(totals, "_by")
+    totals = {"cum_tp": F.col("tp"), "cum_n": F.col("n")}
+    whole = {"positives": "cum_tp", "total": "cum_n"}
+    run = running(scores, by, [F.desc("threshold")], totals, whole)
     precision = F.col("cum_tp") / F.col("cum_n")
     recall = F.col("cum_tp") / F.nullif(F.col("positives"), F.lit(0))
     total = precision + recall
     return run.select(
-        *[F.col("_by")[c].alias(c) for c in by],
+        *by,
         "threshold",
         "tp",
         "n",
@@ -289,26 +269,33 @@ def probability_metrics(
 def quantile_edges(df: DataFrame, score: str, bins: int) -> DataFrame:
     """Exact interpolated quantiles as one row with an array, without one big sort.
 
-    Rows are reduced to distinct scores with running counts; the two order
-    statistics around each quantile are then minima over the scores whose
-    running count has reached them.
+    Rows are reduced to distinct scores with running counts over ranges; a
+    score holds the places between the count before it and its own, and only
+    scores that hold a wanted place are kept.
     """
     counts = df.where(scored(F.col(score))).groupBy(F.col(score).alias("_v")).agg(
         F.count("*").alias("_n")
     )
-    bucketed = counts.withColumns({"_bucket": _score_bucket(F.col("_v")), "_by": F.lit(0)})
-    run = running_totals(bucketed, ["_by"], "_bucket", "_v", {"_cum": F.col("_n")})
-    # A global aggregate: exactly one row.
-    total = run.agg(F.max("_cum").alias("_total")).withColumn("_by", F.lit(0))
-    placed = run.join(F.broadcast(total), "_by")
-    edges = []
-    for i in range(bins + 1):
-        place = (F.col("_total") - 1) * F.lit(i / bins)
-        low = F.min(F.when(F.col("_cum") > F.floor(place), F.col("_v")))
-        high = F.min(F.when(F.col("_cum") > F.ceil(place), F.col("_v")))
-        at = F.max(place - F.floor(place))
-        edges.append(low + (high - low) * at)
-    return placed.agg(F.array(*edges).alias("edges"))
+    run = running(counts, [], [F.asc("_v")], {"_cum": F.col("_n")}, {"_total": "_cum"})
+    fractions = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    places = F.transform(
+        fractions, lambda f, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * f).alias("place"))
+    )
+
+    def held(place: Column) -> Column:
+        return (place >= F.col("_cum") - F.col("_n")) & (place < F.col("_cum"))
+
+    wanted = F.filter(places, lambda p: held(F.floor(p["place"])) | held(F.ceil(p["place"])))
+    hits = run.select("_v", "_cum", "_n", F.explode(wanted).alias("_p"))
+    place = F.col("_p.place")
+    ends = hits.groupBy("_p").agg(
+        F.min(F.when(held(F.floor(place)), F.col("_v"))).alias("_low"),
+        F.min(F.when(held(F.ceil(place)), F.col("_v"))).alias("_high"),
+    )
+    edge = F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))
+    # one row a quantile
+    found = ends.agg(F.array_sort(F.collect_list(F.struct(F.col("_p.i").alias("i"), edge.alias("edge")))).alias("_e"))
+    return found.select(F.col("_e.edge").alias("edges"))
 
 
 def reliability(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
@@ -346,26 +333,20 @@ def bootstrap_draws(
 ) -> DataFrame:
     """Metrics of each bootstrap repeat, whole channels drawn with replacement.
 
-    Channels are numbered by hash bucket plus bucket offset, so numbering needs
-    no global sort.  Every channel opens one draw per repeat; a draw is a hash,
-    hence the same on every run and in every engine.
+    How often a repeat draws a channel is a Poisson number of mean one, found
+    from a hash of repeat and channel, hence the same on every run and in every
+    engine.  So no channel has to be numbered or looked up: each adds itself to
+    the sums of all repeats, which are formed before the shuffle.
     """
     clusters = cluster_counts(df, key, label, score, threshold)
-    # A global aggregate: exactly one row.
-    total = F.broadcast(clusters.agg(F.count("*").alias("_total")).withColumn("_one", F.lit(1)))
-    numbered = number_rows(clusters, "_key", "_index").withColumn("_one", F.lit(1)).join(total, "_one")
-    slots = numbered.select(
-        "_index", "_total", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
-    )
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("repeat"), F.col("_index"))
-    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-    draws = slots.select("repeat", (number % F.col("_total")).alias("_index"))
-    counted = draws.groupBy("repeat", "_index").agg(F.count("*").alias("_times"))
-    sums = (
-        counted.join(numbered.select("_index", "tp", "fp", "fn"), "_index")
-        .groupBy("repeat")
-        .agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in ("tp", "fp", "fn")])
-    )
+    opened = clusters.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("repeat"), F.coalesce("_key", F.lit("~")))
+    chance = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    times = F.lit(0)
+    for level in DRAWN_AT_MOST:
+        times = times + (chance >= F.lit(level)).cast("int")
+    drawn = opened.select("repeat", "tp", "fp", "fn", times.alias("_times")).where("_times > 0")
+    sums = drawn.groupBy("repeat").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in ("tp", "fp", "fn")])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.select(
         "repeat",

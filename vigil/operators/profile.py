@@ -11,6 +11,8 @@ from vigil import fixed_values as fv
 from vigil.functions import scalars as S
 from vigil.operators.ordered import FIRST
 from vigil.operators.quantiles import exact_quantiles, with_quantiles
+from vigil.operators.ranges import running
+from vigil.session import materialize
 
 
 def observed_states(events: DataFrame, year: Column) -> DataFrame:
@@ -347,52 +349,46 @@ def outlier_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def rank_table(df: DataFrame, columns: Sequence[str], pieces: int = 64) -> DataFrame:
-    """Average rank of every distinct value of every column.
+#: Values that own at least one row in so many are looked up by broadcast: at most so many a column.
+FREQUENT = 1000
 
-    Distinct values with their counts are cut at approximate quantiles of their
-    own column; running counts inside a piece plus the totals of the pieces
-    before it give the rank, so no task sorts a whole column.
+
+def rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Average rank of every distinct value of every column, and whether the value is frequent.
+
+    Distinct values with their counts are cut into ranges of about equal size;
+    running counts that carry on from piece to piece give the rank, so no task
+    sorts a whole column and the pieces grow with the data.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
     counts = long.groupBy("column", "value").agg(F.count("*").alias("_n"))
-    marks = [i / pieces for i in range(1, pieces)]
-    found = {  # a short list of numbers per column
-        r["column"]: sorted(set(r["_cuts"]))
-        for r in counts.groupBy("column")
-        .agg(F.percentile_approx("value", marks, 1000).alias("_cuts"))
-        .collect()
-    }
-    piece = F.lit(0)
-    for name, cuts in found.items():
-        number = F.size(F.filter(F.lit(cuts), lambda cut: cut <= F.col("value")))
-        piece = F.when(F.col("column") == name, number).otherwise(piece)
-    cut = counts.withColumn("_piece", piece)
-    inside = Window.partitionBy("column", "_piece").orderBy("value").rowsBetween(FIRST, -1)
-    sizes = cut.groupBy("column", "_piece").agg(F.sum("_n").alias("_size"))
-    across = Window.partitionBy("column").orderBy("_piece").rowsBetween(FIRST, -1)
-    before = sizes.select(
-        "column", "_piece", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_before")
-    )
-    joined = cut.withColumn("_local", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
-        before, ["column", "_piece"]
-    )
-    rank = F.col("_before") + F.col("_local") + (F.col("_n") + 1) / F.lit(2.0)
-    return joined.select("column", "value", rank.alias("rank"))
+    run = running(counts, ["column"], [F.asc("value")], {"_cum": F.col("_n")}, {"_all": "_cum"})
+    rank = F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)
+    return run.select("column", "value", rank.alias("rank"), (F.col("_n") * FREQUENT >= F.col("_all")).alias("frequent"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of columns over rows without gaps."""
+    """Rank correlation of every pair of columns over rows without gaps.
+
+    Ranks come back to the rows by value.  Frequent values, which would be hot
+    keys of a join, are at most ``FREQUENT`` a column and are broadcast; their
+    rows are spread over all partitions of the join that serves the others.
+    """
     whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    ranks = rank_table(whole, columns)
+    ranks = materialize(rank_table(whole, columns), "ranks")
     ranked = whole
     for c in columns:
-        mine = ranks.where(F.col("column") == c).select(
-            F.col("value").alias(c), F.col("rank").alias(f"r_{c}")
+        mine = ranks.where(F.col("column") == c)
+        often = mine.where("frequent").select(F.col("value").alias(c), F.col("rank").alias("_often"))
+        ranked = ranked.join(F.broadcast(often), c, "left")
+        spread = F.when(F.col("_often").isNotNull(), 1 + F.pmod(F.xxhash64(*columns), F.lit(1 << 20))).otherwise(F.lit(0))
+        rare = mine.where("not frequent").select(
+            F.col("value").alias(c), F.lit(0).cast("long").alias("_spread"), F.col("rank").alias("_rare")
         )
-        ranked = ranked.join(mine, c)
+        ranked = ranked.withColumn("_spread", spread).join(rare, [c, "_spread"], "left")
+        ranked = ranked.withColumn(f"r_{c}", F.coalesce("_often", "_rare")).drop("_often", "_rare", "_spread")
     pairs = [(a, b) for a in columns for b in columns]
     wide = ranked.agg(
         *[F.corr(f"r_{a}", f"r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)]

@@ -214,17 +214,17 @@ def _(spark, sf):
 
 part(
     "clusters_t",
-    f"""SELECT *, row_number() OVER (ORDER BY md5(channel_id)[1:3], channel_id) - 1 AS i FROM
-        (SELECT channel_id, count(*) FILTER (WHERE probability >= {LEVEL} AND label = 1) AS tp,
+    f"""SELECT channel_id, count(*) FILTER (WHERE probability >= {LEVEL} AND label = 1) AS tp,
            count(*) FILTER (WHERE probability >= {LEVEL} AND label = 0) AS fp,
-           count(*) FILTER (WHERE probability < {LEVEL} AND label = 1) AS fn FROM scored_t GROUP BY 1)""",
+           count(*) FILTER (WHERE probability < {LEVEL} AND label = 1) AS fn FROM scored_t GROUP BY 1""",
 )
 part(
     "draws_t",
-    """SELECT repeat, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM
-       (SELECT r::INT AS repeat, ('0x' || md5('2026|' || r::VARCHAR || '|' || i::VARCHAR)[1:12])::BIGINT
-          % (SELECT count(*) FROM clusters_t) AS j FROM clusters_t, range(1, 401) x(r))
-       JOIN clusters_t ON i = j GROUP BY 1""",
+    f"""SELECT repeat, sum(tp * times)::BIGINT AS tp, sum(fp * times)::BIGINT AS fp, sum(fn * times)::BIGINT AS fn FROM
+       (SELECT *, len(list_filter({E.DRAWN_AT_MOST!r}::DOUBLE[], lambda x: x <= chance)) AS times FROM
+         (SELECT *, r::INT AS repeat, ('0x' || md5('2026|' || r::VARCHAR || '|' || channel_id)[1:12])::BIGINT / 281474976710656::DOUBLE
+            AS chance FROM clusters_t, range(1, 401) x(r)))
+       WHERE times > 0 GROUP BY 1""",
 )
 
 

@@ -122,11 +122,14 @@ def rolled_dates(
     ).drop("_state", "_at")
 
 
-def append_days(store: PanelStore, events: DataFrame, coverage: DataFrame | None = None) -> tuple[dt.date, dt.date] | None:
+def append_days(
+    store: PanelStore, events: DataFrame, coverage: DataFrame | None = None, stated: DataFrame | None = None
+) -> tuple[dt.date, dt.date] | None:
     """Add the days of ``events`` (a typed journal) to the store; the first and last prediction date computed.
 
-    ``coverage`` has the observed hours of the new days (default: of these
-    events).  None for a batch without events.
+    ``coverage`` has the observed hours of the new days and ``stated`` the
+    messages of their states (default: both from these events).  None for a
+    batch without events.
     """
     spark = events.sparkSession
     daily = C.daily_aggregate(events, store.words)
@@ -139,7 +142,7 @@ def append_days(store: PanelStore, events: DataFrame, coverage: DataFrame | None
         raise ValueError(f"the store reaches {until[-1]}; append all days from {first} on")
     before = [d for d in until if d < first]
     carried = _stored(spark, store, "carried").where(F.col("upto") == before[-1]).drop("upto") if before else None
-    changes = linked_changes(events, carried, store.words)
+    changes = linked_changes(events if stated is None else stated, carried, store.words)
     states = ST.day_states(changes, store.words.fault, store.words.normal)
     overwrite_partitions(daily.join(states, ["channel_id", "day"], "left"), store.path("daily"), ["day"])
     covered = coverage if coverage is not None else C.coverage_of_daily(daily)

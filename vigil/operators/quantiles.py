@@ -17,9 +17,10 @@ def exact_quantiles(
     """``by`` and ``quantiles`` (array, in the order of ``fractions``) of the values that are numbers.
 
     A sketch bounds every quantile from both sides.  Values below the bounds
-    are only counted; those between them are reduced to distinct values and
-    ordered, which is a small share of a group of any size.  Groups without a
-    value are left out; a NULL group is a group.
+    are only counted, before the shuffle; those between them are reduced to
+    distinct values and ordered, which is a small share of a group of any size.
+    A sketch that missed its bound raises an error.  Groups without a value are
+    left out; a NULL group is a group.
     """
     number = F.col(value).cast("double")
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
@@ -43,19 +44,22 @@ def exact_quantiles(
             for i, f in enumerate(fractions)
         ]
     )
-    distinct = rows.groupBy("_g", "_v").agg(F.count("*").alias("_n"))
-    placed = distinct.join(sketch.select("_g", wanted.alias("_wanted")), "_g")
-    each = placed.select("_g", "_v", "_n", F.explode("_wanted").alias("_w")).where("_v <= _w.high")
-    # all values below the bounds become one row a group and quantile before the shuffle
+    # bounds first: values above are left out, values below become one row a group, quantile and task
+    bounded = rows.join(sketch.select("_g", wanted.alias("_wanted")), "_g")
+    each = bounded.select("_g", "_v", F.explode("_wanted").alias("_w")).where("_v <= _w.high")
     cut = F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")
-    near = each.groupBy("_g", "_w", cut).agg(F.sum("_n").alias("_n"))
+    near = each.groupBy("_g", "_w", cut).agg(F.count("*").alias("_n"))
     running = Window.partitionBy("_g", "_w").orderBy(F.col("_v").asc_nulls_first())
     counted = near.withColumn("_cum", F.sum("_n").over(running.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.col("_w.place")
-    found = counted.where("_v is not null").groupBy("_g", "_w").agg(
-        F.min(F.when(F.col("_cum") > F.floor(place), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil(place), F.col("_v"))).alias("_b"),
+    found = counted.groupBy("_g", "_w").agg(
+        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.floor(place)), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.ceil(place)), F.col("_v"))).alias("_b"),
+        F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("_below"),
     )
+    # a bound that misses its place would give a neighbour instead
+    missed = (F.col("_below") > F.floor(place)) | F.col("_a").isNull() | F.col("_b").isNull()
+    found = found.withColumn("_a", F.when(missed, F.raise_error(F.lit("a quantile lies outside its bounds"))).otherwise(F.col("_a")))
     between = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
     ordered = found.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_w.i").alias("i"), between.alias("q")))).alias("_q"))
     return ordered.select(*[F.col("_g")[c].alias(c) for c in by], F.col("_q.q").alias("quantiles"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv
 from vigil.functions import scalars as S
 from vigil.operators.ordered import number_rows
+from vigil.operators.ranges import positions
 from vigil.operators.states import gap_sessions
 
 
@@ -138,6 +140,32 @@ def append_new(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFram
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+#: Columns the store of predictions is partitioned by; an id is made of both and of the entity.
+STORE_PARTITIONS = ["model_version", "prediction_day"]
+
+
+def candidates(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The part of a store that can hold ids of ``new``: its versions and the span of its days.
+
+    Equal ids mean equal version and time, so other partitions are not read.
+    """
+    span = new.agg(F.collect_set("model_version"), F.min("prediction_day"), F.max("prediction_day")).first()
+    versions, first, last = span  # the versions of a batch are a handful
+    return stored.where(F.col("model_version").isin(versions) & F.col("prediction_day").between(first, last))
+
+
+def append_to_store(new: DataFrame, path: str) -> None:
+    """Add the predictions that the store at ``path`` lacks, all columns kept; a repeated call adds nothing."""
+    rows = new.withColumn("prediction_day", F.to_date("prediction_time")).dropDuplicates(["id"])
+    try:
+        stored = new.sparkSession.read.parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        stored = None
+    if stored is not None:
+        rows = rows.join(candidates(stored, rows).select("id"), "id", "left_anti")
+    rows.write.mode("append").option("compression", "zstd").partitionBy(*STORE_PARTITIONS).parquet(path)
+
+
 def active(predictions: DataFrame, models: dict[str, dict], latest: bool = True) -> DataFrame:
     """Predictions of the active model versions, of the last time only if asked."""
     wanted = F.lit(False)
@@ -185,12 +213,63 @@ def ranked(predictions: DataFrame) -> DataFrame:
     )
 
 
+#: Order of a list of predictions: highest score first, missing scores last.
+RANKED = (F.desc_nulls_last, "score"), (F.desc_nulls_last, "prediction_time"), (F.asc_nulls_first, "id")
+#: Rows of a partition of a ranked table.
+RANKED_ROWS = 100_000
+
+
+def placed(predictions: DataFrame) -> DataFrame:
+    """Predictions with their ``position`` in the ranked list (from 0) and its ``total``."""
+    return positions(predictions, [], [order(c) for order, c in RANKED], "position", "total")
+
+
 def prediction_page(
     predictions: DataFrame, limit: int = 100, offset: int = 0, **filters: str | None
 ) -> tuple[int, DataFrame]:
-    """Number of matching predictions and one page of them, highest score first."""
+    """Number of matching predictions and one page of them, highest score first.
+
+    Positions come from ranges, so rows before the page are neither skipped in
+    one task nor sent to the driver.
+    """
+    found = search(predictions, **filters)
+    page = placed(found).where(F.col("position").between(offset, offset + limit - 1))
+    return found.count(), page.orderBy("position").drop("position", "total")
+
+
+def write_ranked(predictions: DataFrame, path: str, rows: int = RANKED_ROWS) -> None:
+    """The ranked list as a table with ``rows`` rows a partition (``block``), for pages at any depth."""
+    blocks = placed(predictions).withColumn("block", F.floor(F.col("position") / rows))
+    dealt = blocks.repartition("block").sortWithinPartitions("block", "position")
+    dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("block").parquet(path)
+
+
+def ranked_page(spark: SparkSession, path: str, limit: int, offset: int, rows: int = RANKED_ROWS) -> DataFrame:
+    """One page of a ranked table; only the partitions it lies in are read."""
+    last = offset + limit - 1
+    blocks = spark.read.parquet(path).where(F.col("block").between(offset // rows, last // rows))
+    return blocks.where(F.col("position").between(offset, last)).drop("block").orderBy("position")
+
+
+def page_after(
+    predictions: DataFrame, after: tuple | None, limit: int = 100, **filters: str | None
+) -> DataFrame:
+    """The page that follows a row (its score, time and id); the first page without one.
+
+    No task and no driver keeps more than ``limit`` rows, however deep the page.
+    """
     found = search(predictions, **filters)
-    return found.count(), ranked(found).offset(offset).limit(limit)
+    if after is not None:
+        score, time, id_ = after
+        at, later = F.col("prediction_time"), F.col("id") > id_
+        beyond = (at < F.lit(time)) | ((at == F.lit(time)) & later)
+        if score is None:
+            beyond = F.col("score").isNull() & beyond
+        else:
+            own = F.col("score")
+            beyond = own.isNull() | (own < F.lit(score)) | ((own == F.lit(score)) & beyond)
+        found = found.where(beyond)
+    return ranked(found).limit(limit)
 
 
 def kpis(predictions: DataFrame, tickets: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigil import fixed_values as fv
 from vigil.functions import scalars as S
 from vigil.operators import calendar as C
+from vigil.operators import differences as DIF
 from vigil.operators import profile as R
 from vigil.operators import quality as Q
 from vigil.plans import bindings as B
@@ -226,10 +227,10 @@ def _(spark, sf):
 @query(
     "channels_without_objects",
     """SELECT channel_key AS channel_id, object_id FROM channels_t WHERE object_id NOT IN
-       (SELECT s_nationkey FROM supplier)""",
+       (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 <> 0)""",
 )
 def _(spark, sf):
-    known = B.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias(fv.OBJECT_KEY))
+    known = B.objects(spark, sf).where(F.col(fv.OBJECT_KEY) % 5 != 0).select(fv.OBJECT_KEY)  # some objects are not listed
     lost = Q.without_dictionary(B.channels(spark, sf), known, fv.OBJECT_KEY)
     return lost.select(
         F.col(fv.CHANNEL_KEY).alias("channel_id"), F.col(fv.OBJECT_KEY).alias("object_id")
@@ -494,12 +495,11 @@ def _(spark, sf):
 @query(
     "report_file",
     """SELECT year::VARCHAR AS year, sensor_type, sum(events)::BIGINT::VARCHAR AS events FROM years_t
-       WHERE sensor_type IS NOT NULL GROUP BY ALL""",
+       GROUP BY ALL""",
 )
 def _(spark, sf):
     path = scratch_path(spark, "report")
-    known = R.type_years(_channel_years(spark, sf)).where(F.col("sensor_type").isNotNull())
-    T.write_report(known.select("year", "sensor_type", "events"), path)
+    T.write_report(R.type_years(_channel_years(spark, sf)).select("year", "sensor_type", "events"), path)
     return spark.read.option("header", True).csv(path)
 
 
@@ -630,13 +630,18 @@ def _(spark, sf):
 
 @query(
     "equipment_without_marks",
-    """SELECT c_custkey AS source_row, c_name AS equipment FROM customer
-       WHERE c_custkey NOT IN (SELECT source_row FROM monthly_plan_t )""",
+    """SELECT * FROM (SELECT c_custkey AS source_row, c_name AS equipment FROM customer
+         UNION ALL SELECT 1000000000 + s_suppkey, s_name FROM supplier)
+       WHERE source_row NOT IN (SELECT source_row FROM monthly_plan_t)""",
 )
 def _(spark, sf):
     equipment = B.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("source_row"), F.col("c_name").alias("equipment")
     )
+    unplanned = B.table(spark, sf, "supplier").select(
+        (F.lit(1_000_000_000) + F.col("s_suppkey")).alias("source_row"), F.col("s_name").alias("equipment")
+    )
+    equipment = equipment.unionByName(unplanned)
     return R.equipment_without_marks(equipment, _plans(spark, sf)[1])
 
 
@@ -663,3 +668,29 @@ def _(spark, sf):
     return rows.groupBy("month", "action").agg(
         F.count("*").alias("rows"), F.count_distinct("source_row").alias("equipment")
     )
+
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+_CHANGED_ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + if(o_orderkey % 1000 = 7, 1, 0) AS o_totalprice
+  FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 1000 = 11) WHERE o_orderkey % 1000 <> 3"""
+
+
+def _one_side(side: str, more: str, less: str) -> str:
+    columns = ", ".join(_ORDER_COLUMNS)
+    return f"""SELECT {columns}, '{side}' AS side, count(*) AS times
+       FROM (SELECT {columns} FROM ({more}) EXCEPT ALL SELECT {columns} FROM ({less})) GROUP BY ALL"""
+
+
+@query(
+    "source_differences",
+    _one_side("left", "SELECT * FROM orders", _CHANGED_ORDERS)
+    + " UNION ALL "
+    + _one_side("right", _CHANGED_ORDERS, "SELECT * FROM orders"),
+)
+def _(spark, sf):
+    """Orders against a copy with rows left out, changed and doubled."""
+    orders = B.table(spark, sf, "orders").select(*_ORDER_COLUMNS)
+    rest = F.pmod("o_orderkey", F.lit(1000))
+    price = F.when(rest == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    copy = orders.unionAll(orders.where(rest == 11)).where(rest != 3).withColumn("o_totalprice", price)
+    return DIF.differing_rows(orders, copy, ["o_orderkey"], _ORDER_COLUMNS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv
@@ -9,11 +11,13 @@ from vigil.operators import calendar as C
 from vigil.operators import causal as CA
 from vigil.operators import episode_features as EF
 from vigil.operators import panel as P
+from vigil.operators import panel_store as PS
 from vigil.operators import quality as Q
 from vigil.operators import states as ST
 from vigil.operators.asof import asof_join
 from vigil.plans import bindings as B
 from vigil.plans.registry import part, query
+from vigil.session import scratch_path
 
 _ROUND_MEAN = [f"numeric_mean_{w}d" for w in fv.PANEL_WINDOWS]
 _ROUND_STD = [f"numeric_std_{w}d" for w in fv.PANEL_WINDOWS]
@@ -133,6 +137,20 @@ def _(spark, sf):
     return rounded_panel(B.build_panel(spark, sf))
 
 
+@query("refreshed_panel", PANEL_ROWS + "panel_t")
+def _(spark, sf):
+    """The panel from three batches of days, each computed from the state that the one before left."""
+    events, stated = B.journal(spark, sf), B.state_events(spark, sf)
+    first, last = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()  # one row
+    days = (last - first).days + 1
+    store = PS.PanelStore(scratch_path(spark, "panel"), B.WORDS, min_history_days=B.HISTORY_DAYS)
+    cuts = [first + dt.timedelta(n) for n in (0, days // 2, days - 1, days)]
+    for a, b in zip(cuts, cuts[1:]):
+        new = (F.to_date("ts") >= a) & (F.to_date("ts") < b)
+        PS.append_days(store, events.where(new), C.day_coverage(stated.where(new)), stated.where(new))
+    return rounded_panel(PS.panel(spark, store, B.metadata(spark, sf)))
+
+
 @query(
     "sparse_panel",
     """SELECT channel_id, count(*) AS rows, min(prediction_time) AS first_time, max(prediction_time) AS last_time,
@@ -250,7 +268,7 @@ def _(spark, sf):
 def _asof_sql(sign: str, right: str, on_key: bool = True) -> str:
     match = "r.channel_id = l.channel_id AND " if on_key else ""
     return f"""SELECT l.channel_id, l.event_id, l.ts, r.value, r.at FROM
-      (SELECT channel_id, event_id, date_trunc('hour', ts) AS ts FROM journal_t WHERE state = 'purchase') l
+      (SELECT channel_id, event_id, date_trunc('hour', ts) AS ts FROM journal_t) l
       ASOF LEFT JOIN {right} r ON {match}l.ts {sign} r.at"""
 
 
@@ -258,7 +276,7 @@ _RIGHT = "(SELECT channel_id, state AS value, ts AS at FROM transitions_t)"
 
 
 def _asof(spark, sf, direction: str, strict: bool):
-    left = B.hourly(ST.with_states(B.journal(spark, sf), [B.WORDS.smoke]))
+    left = B.hourly(B.journal(spark, sf))
     right = B.transitions(spark, sf).select(
         "channel_id", F.col("state").alias("value"), F.col("ts").alias("at")
     )
@@ -305,7 +323,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pyspark.sql import Window
 
-    left = B.hourly(ST.with_states(B.journal(spark, sf), [B.WORDS.smoke]))
+    left = B.hourly(B.journal(spark, sf))
     days = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     right = B.coverage(spark, sf).select(
         F.sum("events").over(days).alias("value"), F.col("day").cast("timestamp_ntz").alias("at")

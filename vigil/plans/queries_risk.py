@@ -157,18 +157,20 @@ def _(spark, sf):
 
 @query(
     "appended_predictions",
-    "SELECT direction, count(*) AS rows, count(DISTINCT id) AS ids FROM predictions_t GROUP BY 1",
+    """SELECT direction, count(*) AS rows, count(DISTINCT id) AS ids, sum(3 + has::INT)::BIGINT AS factors
+       FROM predictions_t JOIN (SELECT entity_id, prediction_time, direction, event_ratio_1d_7d IS NOT NULL AS has FROM rows_t)
+         USING (entity_id, prediction_time, direction) GROUP BY 1""",
 )
 def _(spark, sf):
+    """Some records, then all of them twice; each append reads the days and versions it can meet."""
     path = scratch_path(spark, "predictions")
-    whole = predictions(spark, sf).drop("factors")
-    T.append_log(whole.where("risk = 'high'"), path)
-    stored = spark.read.parquet(path)
-    T.append_log(K.append_new(stored, whole), path)
-    stored = spark.read.parquet(path)
-    T.append_log(K.append_new(stored, whole), path)
+    whole = predictions(spark, sf)
+    for batch in (whole.where("risk = 'high'"), whole, whole):
+        K.append_to_store(batch, path)
     return spark.read.parquet(path).groupBy("direction").agg(
-        F.count("*").alias("rows"), F.count_distinct("id").alias("ids")
+        F.count("*").alias("rows"),
+        F.count_distinct("id").alias("ids"),
+        F.sum(F.size("factors").cast("long")).alias("factors"),
     )
 
 
@@ -186,6 +188,28 @@ def _(spark, sf):
     return page.select("id", "entity_id", "score", "risk", F.lit(total).cast("long").alias("total"))
 
 
+_PAGE = "SELECT id, score, risk FROM predictions_t ORDER BY score DESC NULLS LAST, prediction_time DESC, id LIMIT 20 OFFSET "
+
+
+@query("ranked_pages", _PAGE + "150")
+def _(spark, sf):
+    """A deep page of the list written in its order."""
+    path = scratch_path(spark, "ranked")
+    K.write_ranked(predictions(spark, sf), path, rows=100)
+    return K.ranked_page(spark, path, 20, 150, rows=100).select("id", "score", "risk")
+
+
+@query("page_after", _PAGE + "150")
+def _(spark, sf):
+    """The page that follows the 150th record."""
+    whole = predictions(spark, sf)
+    path = scratch_path(spark, "ranked")
+    K.write_ranked(whole, path)
+    last = K.ranked_page(spark, path, 1, 149).first()
+    after = (last["score"], last["prediction_time"], last["id"])
+    return K.page_after(whole, after, 20).select("id", "score", "risk")
+
+
 def tickets(spark, sf):
     """Tickets of earlier days: a closed one for each high risk of the smoke-free system."""
     high = predictions(spark, sf).where("risk = 'high' AND system_type IN ('ASIA', 'EUROPE')")

@@ -66,20 +66,28 @@ def test_session_windows_equal_gap_sessions(spark):
     assert same(found, batch.select("channel_id", "start_ts", "end_ts", "messages"))
 
 
-def test_stream_episodes_equal_batch(spark, tmp_path):
+def closed_runs(rows, until):
+    line = ST.timeline(rows.where(F.col("ts") <= F.lit(until)))
+    closed = line.where("next_change_ts IS NOT NULL").select("channel_id", F.col("ts").alias("start_ts"))
+    return ST.episodes(line).join(closed, ["channel_id", "start_ts"])
+
+
+def test_many_micro_batches_equal_one_batch(spark, tmp_path):
     rows = journal(spark).withColumn("state", F.coalesce("state", F.lit(fv.NORMAL)))
-    half = F.col("ts") < F.lit(dt.datetime(2024, 1, 2, 6))
+    moments = [dt.datetime(2024, 1, 1, 9), dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2, 6)]
+    cuts = [dt.datetime(2023, 1, 1), *moments, dt.datetime(2025, 1, 1)]
 
-    def go_on(part):
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/stated")
+    def go_on(parts):
+        for a, b in parts:
+            part = rows.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/stated")
         stream = I.journal_stream(spark, f"{tmp_path}/stated", rows.schema, 1)
-        instants = I.run_to_table(I.state_instants(stream, "1 hour"), f"{tmp_path}/instants", f"{tmp_path}/log1")
-        again = I.journal_stream(spark, f"{tmp_path}/instants", instants.schema, None)
-        return instants, I.run_to_table(I.fault_episodes(again), f"{tmp_path}/episodes", f"{tmp_path}/log2")
-
-    go_on(rows.where(half))
-    instants, found = go_on(rows.where(~half))
-    line = ST.timeline(rows.where(F.col("ts") <= F.lit(instants.agg(F.max("ts")).first()[0])))
-    closed = line.where("next_change_ts IS NOT NULL").select("channel_id", F.col("ts").alias("start_ts"))
-    batch = ST.episodes(line).join(closed, ["channel_id", "start_ts"]).select(found.columns)
+        return I.follow_episodes(I.state_instants(stream, "1 hour"), f"{tmp_path}/runs", f"{tmp_path}/log")
+
+    steps = list(zip(cuts, cuts[1:]))
+    go_on(steps[:3])
+    found = go_on(steps[3:])  # goes on where the first run stopped
+    assert spark.read.parquet(f"{tmp_path}/runs/carried").select("batch").distinct().count() > 3
+    until = rows.agg(F.max("ts") - F.expr("interval 1 hour")).first()[0]
+    batch = closed_runs(rows, until).select(found.columns)
     assert batch.count() > 5 and same(found, batch)

@@ -40,12 +40,7 @@ def timeline(events: DataFrame, states: Sequence[str] = (fv.FAULT, fv.NORMAL)) -
         # The window and the edge rows both read this exchange.
         .repartition("channel_id", "_day")
     )
-    key = ["channel_id"]
-    seen = neighbour(instants, key, "_day", "ts", {"_prev": "_state"})
-    changes = seen.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_state")))
-    linked = neighbour(
-        changes, key, "_day", "ts", {"next_change_ts": "ts", "_next": "_state"}, following=True
-    )
+    linked = with_next(changes_of(instants))
 
     def word(code: str) -> Column:
         return F.get(words, F.col(code))
@@ -60,6 +55,25 @@ def timeline(events: DataFrame, states: Sequence[str] = (fv.FAULT, fv.NORMAL)) -
     )
 
 
+def changes_of(instants: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Instants (``channel_id``, ``_day``, ``ts``, ``_state``) whose state is not that before, with it as ``_prev``.
+
+    ``carried`` has the state (``_state``) of each channel before its first instant.
+    """
+    seen = neighbour(instants, ["channel_id"], "_day", "ts", {"_prev": "_state"})
+    if carried is not None:
+        before = carried.select("channel_id", F.col("_state").alias("_before"))
+        seen = seen.join(before, "channel_id", "left").withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before")
+    return seen.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_state")))
+
+
+def with_next(changes: DataFrame) -> DataFrame:
+    """Changes with time and state of the next change of their channel."""
+    return neighbour(
+        changes, ["channel_id"], "_day", "ts", {"next_change_ts": "ts", "_next": "_state"}, following=True
+    )
+
+
 def day_states(changes: DataFrame, fault: str = fv.FAULT, normal: str = fv.NORMAL) -> DataFrame:
     """Last state and number of confirmed fault starts per channel and day."""
     confirmed = (F.col("state") == fault) & (F.col("prev_state") == normal)

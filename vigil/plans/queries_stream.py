@@ -74,6 +74,5 @@ part(
 )
 def _(spark, sf):
     events = B.hourly(B.as_journal(_stream(spark, sf)))
-    instants = _run(spark, I.state_instants(events, words=B.WORDS), "instants")
-    again = I.journal_stream(spark, instants.inputFiles()[0].rsplit("/", 1)[0], instants.schema, None)
-    return _run(spark, I.fault_episodes(again, B.WORDS), "episodes")
+    instants = I.state_instants(events, words=B.WORDS)
+    return I.follow_episodes(instants, scratch_path(spark, "episodes"), scratch_path(spark, "episodes-log"), B.WORDS)

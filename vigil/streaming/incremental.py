@@ -6,16 +6,17 @@ same rows) and bounds its state by a watermark on the event time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv
 from vigil.functions import scalars as S
+from vigil.operators import states as ST
 from vigil.operators.calendar import StateWords
 from vigil.operators.states import with_states
+from vigil.session import materialize
+from vigil.sources.tables import overwrite_partitions
 
 
 def journal_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 16) -> DataFrame:
@@ -97,38 +98,64 @@ def state_instants(events: DataFrame, delay: str = "1 day", words: StateWords =
     return found.select("channel_id", "ts", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("state"))
 
 
-_EPISODES = "channel_id string, start_ts timestamp_ntz, end_ts timestamp_ntz, observed_start boolean, ambiguous_end boolean"
+#: Codes of the states: ambiguous, fault, normal.
+_AMBIGUOUS, _FAULT, _NORMAL = range(3)
+
+
+def _latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Rows of the last batch below ``before`` of a table partitioned by batch."""
+    try:
+        stored = spark.read.parquet(path).where(F.col("batch") < before)
+    except AnalysisException:  # no batch yet
+        return None
+    last = stored.agg(F.max("batch")).first()[0]  # one number, from the names of the partitions
+    return None if last is None else stored.where(F.col("batch") == last).drop("batch")
 
 
-def fault_episodes(instants: DataFrame, words: StateWords = StateWords()) -> DataFrame:
-    """Fault runs of a stream of instants, each given out by the change that ends it.
+def follow_episodes(instants: DataFrame, path: str, checkpoint: str, words: StateWords = StateWords()) -> DataFrame:
+    """Fault runs of a stream of ``state_instants``, each given out by the change that ends it.
 
-    ``instants`` is the written result of ``state_instants``, read as a stream
-    without a limit of files: the watermark lets each run write later instants
-    than all before, so the state of a channel is its last state and the start
-    of an open run.  A batch of a channel holds distinct instants only.
+    The watermark lets every micro-batch give out later instants than all
+    before, so what carries over is one row a channel: its last change.  A
+    batch links its instants to those rows and to each other by channel and
+    day, like the batch operator; no channel is held as a whole anywhere, and
+    files a batch may be limited.  Both tables are partitioned by batch, so a
+    batch that is run again after a failure replaces its own rows.
     """
-    fault, normal = words.fault, words.normal
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, began = state.get if state.exists else (None, None)
-        out = []
-        for at, now in sorted((t, s if isinstance(s, str) else "") for c in chunks for t, s in zip(c["ts"], c["state"])):
-            if now == last:
-                continue
-            if last == fault:
-                start, observed = began.split("|")
-                out.append((key[0], pd.Timestamp(start), at if now == normal else pd.NaT, observed == "1", now == ""))
-            if now == fault:
-                began = f"{at.isoformat()}|{int(last == normal)}"
-            last = now
-        state.update((last, began))
-        if out:
-            yield pd.DataFrame(out, columns=["channel_id", "start_ts", "end_ts", "observed_start", "ambiguous_end"])
-
-    return instants.groupBy("channel_id").applyInPandasWithState(
-        step, _EPISODES, "last string, began string", "append", "NoTimeout"
-    )
+    spark = instants.sparkSession
+    carried_path, episodes_path = f"{path}/carried", f"{path}/episodes"
+    word = F.when(F.col("state") == words.fault, _FAULT).when(F.col("state") == words.normal, _NORMAL)
+    columns = ["channel_id", "_day", "ts", "_state", "_prev"]
+
+    def step(rows: DataFrame, batch: int) -> None:
+        batch_of = rows.sparkSession
+        coded = rows.select("channel_id", F.to_date("ts").alias("_day"), "ts", F.coalesce(word, F.lit(_AMBIGUOUS)).alias("_state"))
+        coded = materialize(coded, "instants")
+        carried = _latest(batch_of, carried_path, batch)
+        changes = ST.changes_of(coded, carried).select(*columns)
+        every = changes
+        if carried is not None:
+            met = carried.join(coded.select("channel_id").distinct(), "channel_id", "left_semi")
+            every = met.select(*columns).unionByName(changes)
+        linked = ST.with_next(every).where((F.col("_state") == _FAULT) & F.col("next_change_ts").isNotNull())
+        closed = linked.select(
+            "channel_id",
+            F.col("ts").alias("start_ts"),
+            F.when(F.col("_next") == _NORMAL, F.col("next_change_ts")).alias("end_ts"),
+            F.coalesce(F.col("_prev") == _NORMAL, F.lit(False)).alias("observed_start"),
+            (F.col("_next") == _AMBIGUOUS).alias("ambiguous_end"),
+            F.lit(batch).cast("long").alias("batch"),
+        )
+        overwrite_partitions(closed, episodes_path, ["batch"])
+        whole = changes if carried is None else carried.select(*columns).unionByName(changes)
+        last = whole.groupBy("channel_id").agg(F.max_by(F.struct(*columns[1:]), "ts").alias("_last"))
+        kept = last.select("channel_id", "_last.*", F.lit(batch).cast("long").alias("batch"))
+        overwrite_partitions(kept, carried_path, ["batch"])
+
+    run = instants.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step)
+    run.trigger(availableNow=True).start().awaitTermination()
+    schema = "channel_id string, start_ts timestamp_ntz, end_ts timestamp_ntz, observed_start boolean, ambiguous_end boolean, batch long"
+    return spark.read.schema(schema).parquet(episodes_path).drop("batch")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

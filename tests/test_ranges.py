@@ -55,6 +55,6 @@ def test_one_value_in_all_rows_is_still_cut(spark):
     df = spark.range(0, 20000, 1, 8).select(F.lit("a").alias("g"), F.lit(1.0).alias("v"), F.col("id").alias("tie"))
     name = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(name, "false")
-    pieces = ranges.in_pieces(df, ["g"], [F.col("v"), F.col("tie")]).groupBy("_piece").count().collect()
+    pieces = ranges.in_pieces(df, ["g"], [F.col("v"), F.col("tie")]).groupBy("_range_piece").count().collect()
     spark.conf.set(name, "true")
     assert len(pieces) > 1 and max(r["count"] for r in pieces) < 10000

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.ordered import FIRST
+from vigil.operators.ranges import running
 
 _MINE, _ROW = 0, 1
 
@@ -23,8 +23,9 @@ def causal_rate(
     Only labels whose window ended by the prediction time count
     (``target_end <= prediction_time``).  The rate is pulled towards the global
     rate known at that time with strength ``alpha``.  The history is reduced to
-    one row per channel and end time first; the global line has one row per end
-    time, so its window is as short as the calendar.
+    one row per channel and end time first.  Both lines, that of a channel and
+    the global one, are cut into ranges of time, so neither a busy channel nor
+    times that are not midnights end up in one task.
     """
     if alpha < 0:
         raise ValueError("alpha must not be negative")
@@ -36,28 +37,20 @@ def causal_rate(
     asked = rows.select(
         key, F.col("prediction_time").alias("_at"), F.lit(_ROW).alias("_side"), packed.alias("_row")
     )
-    line = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(FIRST, 0)
-    known = (
-        per_end.withColumn("_side", F.lit(_MINE))
-        .unionByName(asked, allowMissingColumns=True)
-        .withColumns({"_cum_pos": F.sum("_pos").over(line), "_cum_n": F.sum("_n").over(line)})
-        .where(F.col("_side") == _ROW)
-    )
+    order = [F.asc("_at"), F.asc("_side")]
+    line = per_end.withColumn("_side", F.lit(_MINE)).unionByName(asked, allowMissingColumns=True)
+    sums = {"_cum_pos": F.col("_pos"), "_cum_n": F.col("_n")}
+    known = running(line, [key], order, sums).where(F.col("_side") == _ROW)
     total = per_end.groupBy("_at").agg(F.sum("_pos").alias("_pos"), F.sum("_n").alias("_n"))
     times = rows.select(F.col("prediction_time").alias("_at")).distinct()
-    calendar = Window.orderBy("_at", "_side").rowsBetween(FIRST, 0)
+    calendar = total.withColumn("_side", F.lit(_MINE)).unionByName(
+        times.withColumn("_side", F.lit(_ROW)), allowMissingColumns=True
+    )
+    rate = F.col("_cum_pos") / F.nullif(F.col("_cum_n"), F.lit(0.0))
     prior = (
-        total.withColumn("_side", F.lit(_MINE))
-        .unionByName(times.withColumn("_side", F.lit(_ROW)), allowMissingColumns=True)
-        .withColumn(
-            "_prior",
-            F.coalesce(
-                F.sum("_pos").over(calendar) / F.nullif(F.sum("_n").over(calendar), F.lit(0.0)),
-                F.lit(0.0),
-            ),
-        )
+        running(calendar, [], order, sums)
         .where(F.col("_side") == _ROW)
-        .select("_at", "_prior")
+        .select("_at", F.coalesce(rate, F.lit(0.0)).alias("_prior"))
     )
     joined = known.join(prior.withColumnRenamed("_at", "_asked"), F.col("_at").eqNullSafe(F.col("_asked"))).drop("_asked")
     positives = F.coalesce("_cum_pos", F.lit(0.0))

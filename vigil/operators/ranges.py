@@ -22,21 +22,21 @@ _BITS = 33
 
 
 def in_pieces(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """``df`` written in ranges, with ``_piece`` and ``_row``, which ascends in the order of each group."""
+    """``df`` written in ranges, with ``_range_piece`` and ``_range_row``, which ascends in the order of each group."""
     keys = [*[F.col(f"`{g}`").asc_nulls_first() for g in group], *order]
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = dealt.withColumn("_row", F.monotonically_increasing_id())
-    return materialize(dealt.withColumn("_piece", F.shiftright("_row", _BITS)), "ranges")
+    dealt = dealt.withColumn("_range_row", F.monotonically_increasing_id())
+    return materialize(dealt.withColumn("_range_piece", F.shiftright("_range_row", _BITS)), "ranges")
 
 
 def _of_piece(rows: DataFrame, offsets: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Columns ``names`` of the offsets of each row's group and piece; a NULL group is a group."""
     right = offsets.select(
-        *[F.col(f"`{g}`").alias(f"_of_{i}") for i, g in enumerate(group)], F.col("_piece").alias("_of"), *names
+        *[F.col(f"`{g}`").alias(f"_range_of_{i}") for i, g in enumerate(group)], F.col("_range_piece").alias("_range_of"), *names
     )
-    same = [rows["_piece"] == right["_of"]]
-    same += [rows[f"`{g}`"].eqNullSafe(right[f"_of_{i}"]) for i, g in enumerate(group)]
-    return rows.join(right, reduce(lambda a, b: a & b, same)).drop("_of", *[f"_of_{i}" for i in range(len(group))])
+    same = [rows["_range_piece"] == right["_range_of"]]
+    same += [rows[f"`{g}`"].eqNullSafe(right[f"_range_of_{i}"]) for i, g in enumerate(group)]
+    return rows.join(right, reduce(lambda a, b: a & b, same)).drop("_range_of", *[f"_range_of_{i}" for i in range(len(group))])
 
 
 def positions(
@@ -44,16 +44,16 @@ def positions(
 ) -> DataFrame:
     """``df`` with each row's place in its group (from 0) and the number of rows of the group."""
     rows = in_pieces(df, group, order)
-    pieces = rows.groupBy(*group, "_piece").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    pieces = rows.groupBy(*group, "_range_piece").agg(F.min("_range_row").alias("_range_first"), F.count("*").alias("_rows"))
     # one row a group and piece
     whole = Window.partitionBy(*group)
-    before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_range_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.withColumns(
-        {"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_size": F.sum("_rows").over(whole)}
+        {"_range_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_range_size": F.sum("_rows").over(whole)}
     )
-    placed = _of_piece(rows, offsets, group, ["_first", "_before", "_size"])
-    place = F.col("_row") - F.col("_first") + F.col("_before")
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(position), F.col("_size").alias(size))
+    placed = _of_piece(rows, offsets, group, ["_range_first", "_range_before", "_range_size"])
+    place = F.col("_range_row") - F.col("_range_first") + F.col("_range_before")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(position), F.col("_range_size").alias(size))
 
 
 def running(
@@ -65,14 +65,14 @@ def running(
     group they hold.
     """
     rows = in_pieces(df, group, order).withColumns({f"_add_{n}": c for n, c in totals.items()})
-    sums = rows.groupBy(*group, "_piece").agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in totals])
+    sums = rows.groupBy(*group, "_range_piece").agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in totals])
     every = Window.partitionBy(*group)
-    before = every.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.orderBy("_range_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumns(
         {f"_before_{n}": F.sum(f"_sum_{n}").over(before) for n in totals}
         | {f"_whole_{k}": F.sum(f"_sum_{n}").over(every) for k, n in (whole or {}).items()}
     )
-    inside = Window.partitionBy(*group, "_piece").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group, "_range_piece").orderBy("_range_row").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_in_{n}": F.sum(f"_add_{n}").over(inside) for n in totals})
     carried = [*[f"_before_{n}" for n in totals], *[f"_whole_{k}" for k in whole or {}]]
     both = _of_piece(local, offsets, group, carried)

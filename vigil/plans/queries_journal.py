@@ -564,6 +564,20 @@ def _(spark, sf):
     return T.file_manifest(spark, [f"{sf}/events.parquet", f"{sf}/orders.parquet"])
 
 
+_DIGESTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_WRITTEN = ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in _DIGESTED)
+
+
+@query(
+    "file_digests",
+    f"""SELECT 'orders.parquet' AS file, sum(n)::BIGINT AS rows, {len(_DIGESTED)} AS columns, sha256(string_agg(d, '' ORDER BY block)) AS digest
+       FROM (SELECT place // {T.DIGEST_ROWS} AS block, count(*) AS n, sha256(string_agg(d, '' ORDER BY place)) AS d
+             FROM (SELECT row_number() OVER () - 1 AS place, sha256(concat({_WRITTEN})) AS d FROM orders) GROUP BY 1)""",
+)
+def _(spark, sf):
+    return T.file_digests(B.table(spark, sf, "orders"), _DIGESTED)
+
+
 def _plans(spark, sf):
     """Plan tables made from orders: priority as action, customer as object."""
     orders = B.table(spark, sf, "orders")

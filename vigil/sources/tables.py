@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import fixed_values as fv
@@ -87,26 +87,47 @@ def file_rows(table: DataFrame) -> DataFrame:
     return table.groupBy(name.alias("file")).agg(F.count("*").alias("rows"))
 
 
-def file_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows, bytes and a digest of the rows per Parquet file, for files of any size.
+#: Rows of a file that share a digest.
+DIGEST_ROWS = 4096
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row: each value as text with its length in bytes, ``-`` for NULL."""
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    each = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.sha2(F.concat(*each), 256)
+
 
-    The digest is the sum of the hashes of a file's rows, NULLs included: it
-    needs no file as a whole and does not depend on the order of its rows.
+def file_digests(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows, columns and a digest in order of each file of a table that was read from Parquet files.
+
+    Rows are digested by their place in the file: those of a block together,
+    then the blocks.  A changed value, a row more or another order of the rows
+    changes it.  No task holds more than a block of row digests, or the block
+    digests of a file.
     """
+    columns = columns or table.columns
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    rows = table.select(name.alias("file"), F.col("_metadata.row_index").alias("_at"), row_digest(columns).alias("_row"))
+
+    def together(place: str, digest: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(place, digest)))
+        return F.sha2(F.array_join(F.transform(listed, lambda x: x[digest]), ""), 256)
+
+    blocks = rows.groupBy("file", F.floor(F.col("_at") / DIGEST_ROWS).alias("_block")).agg(
+        F.count("*").alias("_rows"), together("_at", "_row").alias("_digest")
+    )
+    return blocks.groupBy("file").agg(
+        F.sum("_rows").alias("rows"), F.lit(len(columns)).alias("columns"), together("_block", "_digest").alias("digest")
+    )
+
+
+def file_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Bytes, rows, columns and a digest in order per Parquet file, for files of any size."""
     files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    sizes = files.select(name.alias("file"), "bytes")
-    parts = []
-    for path in paths:  # each may have columns of its own
-        table = spark.read.parquet(path)
-        columns = [F.col(f"`{c}`") for c in table.columns]
-        row = F.xxhash64(*columns, *[c.isNull() for c in columns]).cast("decimal(38,0)")
-        file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file")
-        hashed = table.select(file, row.alias("_row")).groupBy("file")
-        parts.append(hashed.agg(F.count("*").alias("rows"), F.sum("_row").cast("string").alias("digest")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    sizes = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "bytes")
+    # each path may have columns of its own
+    rows = union_by_name([file_digests(spark.read.parquet(path)) for path in paths])
     return sizes.join(rows, "file", "left")
 
 

@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -19,11 +20,22 @@ def brute_base(text):
     return sorted(out)
 
 
+def explained(run, span):
+    hexes = run.split("-")
+    if [len(h) for h in hexes] == [8, 4, 4, 4, 12] and not set("".join(hexes)) - set(string.hexdigits):
+        return True
+    letters = set(span) & set(string.ascii_letters)
+    if not letters:
+        return True
+    if not set(span) & set(string.digits) and not re.search("[a-z][A-Z]{1,2}[a-z]{1,2}[A-Z]", span):
+        return True
+    words = "example|placeholder|changeme|your[_-]|x{4}|0123456789|abcdefghij" + ("|/" if run.startswith("//") else "")
+    return max(map(len, re.split(words, span, flags=re.I))) < secrets.WINDOW
+
+
 def brute_added(text, base):
     out = []
     for run in re.finditer(secrets.CANDIDATE, text):
-        if any(re.search(p, run[0]) for p in secrets.ALLOWED):
-            continue
         for number, kind in enumerate(secrets.CLASSES, len(secrets.BASE)):
             spans = []
             for i in range(len(run[0]) - secrets.WINDOW + 1):
@@ -37,7 +49,7 @@ def brute_added(text, base):
                         spans[-1][1] = a + secrets.WINDOW
                     else:
                         spans.append([a, a + secrets.WINDOW])
-            out += [(a, number, b) for a, b in spans]
+            out += [(a, number, b) for a, b in spans if not explained(run[0], text[a:b])]
     return sorted(s for s in out if not any(b[0] <= s[0] and b[2] >= s[2] for b in base))
 
 
@@ -87,6 +99,28 @@ def test_clean_text_and_allow_list(spark, documents):
     assert all(not base and not added for _, base, added in run(documents(rows)))
 
 
+def test_keys_behind_allowed_words(spark, documents):
+    key = "Zk3QpL0xZr8vTtAAbW5yGh7eRqMn2cDfXu9sJkPo"
+    texts = [f"//localhost/{key}", f"example_{key}", f"placeholder={key}", f"{key}_xxxx", "qRtYpLmWzXcVbNhGjKdSfaQeUoIP"]
+    got = run(documents(list(enumerate(texts))))
+    for i, base, added in got:
+        assert base == [] and added and added == brute_added(texts[i], []), texts[i]
+
+
+def test_time_grows_with_matches(spark, documents):
+    def spent(matches):
+        text = "token = abcdef12 and password: hunter2x, " * (matches // 2)
+        docs = documents([(1, text)]).repartition(1)
+        docs.count()
+        began = time.time()
+        ((_, base, _),) = run(docs)
+        assert len(base) == matches
+        return time.time() - began
+
+    spent(2_000)
+    assert spent(32_000) <= 5 * max(spent(8_000), 0.5)
+
+
 def test_repeats_empty_table_and_digest(spark, documents):
     assert run(documents([])) == []
     docs = documents([(1, "token = abcdef12"), (1, "token = abcdef12"), (None, "token = abcdef12")])

@@ -166,17 +166,26 @@ def _matches(name: str, pattern: str, condition: str, kind: int) -> str:
     WHERE {condition})"""
 
 
+def _explained(run: str, span: str) -> str:
+    def pieces(pattern: str) -> str:
+        return f"len(list_filter(string_split_regex({span}, '{pattern}'), lambda p: length(p) >= {secrets.WINDOW})) = 0"
+
+    return f"""(regexp_matches({run}, '{secrets.UUID}') OR regexp_matches({span}, '{secrets.NUMBERS}')
+      OR (regexp_matches({span}, '{secrets.LETTERS}') AND NOT regexp_matches({span}, '{secrets.SHUFFLED}'))
+      OR {pieces(secrets.WORDS)} OR (regexp_matches({run}, '{secrets.ADDRESS}') AND {pieces(secrets.WORDS + secrets.PATH)}))"""
+
+
 def _windows(number: int) -> str:
-    """Joined windows of one character class over the candidates that no entry of the allow-list suppresses."""
+    """Joined windows of one character class over the candidates, less spans that the allow-list explains."""
     kind = secrets.CLASSES[number]
     name, size = f"windows{number}", secrets.WINDOW
     alphabet = kind.alphabet.replace("-", "") + ("-" if "-" in kind.alphabet else "")
     return f"""
 {name} AS (
-    SELECT doc_id, start + i AS start, start + i + {size} AS stop, start AS run, substr(found, CAST(i + 1 AS BIGINT), {size}) AS part
+    SELECT doc_id, start + i AS start, start + i + {size} AS stop, start AS run, found, substr(found, CAST(i + 1 AS BIGINT), {size}) AS part
     FROM (SELECT *, unnest(generate_series(0, length(found) - {size})) AS i FROM candidates)),
 {name}_hot AS (
-    SELECT doc_id, run, start, stop FROM {name}
+    SELECT doc_id, run, found, start, stop FROM {name}
     WHERE regexp_full_match(part, '[{alphabet}]+')
       AND list_sum(list_transform(map_values(list_aggregate(string_split(part, ''), 'histogram')),
                                   lambda c: ({secrets.WEIGHTS!r})[CAST(c + 1 AS BIGINT)])) <= {secrets.most(kind.least)}),
@@ -187,20 +196,20 @@ def _windows(number: int) -> str:
     SELECT *, sum(new) OVER (PARTITION BY doc_id, run ORDER BY start ROWS UNBOUNDED PRECEDING) AS span FROM {name}_begun),
 {name}_spans AS (
     SELECT doc_id, {len(secrets.BASE) + number} AS kind, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop
-    FROM {name}_numbered GROUP BY doc_id, run, span)"""
+    FROM {name}_numbered GROUP BY doc_id, run, span
+    HAVING NOT {_explained("any_value(found)", "substr(any_value(found), CAST(min(start) - run + 1 AS BIGINT), CAST(max(stop) - min(start) AS BIGINT))")})"""
 
 
 def _secrets() -> str:
     (_, assign, value, least), (_, access, _, long), (_, hexes, _, _) = secrets.BASE
     value = value.replace("'", "''")
-    suppressed = " OR ".join(f"regexp_matches(found, '{p}')" for p in secrets.ALLOWED)
     kinds = ", ".join(f"'{k}'" for k in secrets.KINDS)
     tables = [
         "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
         _matches("assign", assign, f"length(regexp_extract(found, '{value}', 1)) >= {least}", 0),
         _matches("access", access, f"length(found) >= {long}", 1),
         _matches("hexes", hexes, "true", 2),
-        _matches("candidates", secrets.CANDIDATE, f"NOT ({suppressed})", 9),
+        _matches("candidates", secrets.CANDIDATE, "true", 9),
         "base AS (SELECT * EXCLUDE (found) FROM (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hexes))",
         *[_windows(i) for i in range(len(secrets.CLASSES))],
         "added AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM windows{i}_spans" for i in range(len(secrets.CLASSES)))

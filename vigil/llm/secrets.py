@@ -9,7 +9,13 @@ a window slides over a candidate; as one character enters and one leaves, two
 counts change and with them the sum of count * log2(count), from which the
 Shannon entropy follows.  The sum is kept in whole units of 2^-20 bit, so it
 does not drift.  Windows at or above the limit of their class are joined to
-spans.  Candidates on the allow-list and spans inside a base span are left out.
+spans.  Spans that the allow-list explains and spans inside a base span are
+left out.  The allow-list judges a span, not the run it lies in: a key that
+follows an allowed word or an address in the same run is kept.
+
+Matches are placed in blocks of ``BLOCK``, and a block's spans are moved by
+the length of those before it, so time grows with the text, not with the
+square of its matches.
 
 Defined cases: a null text counts as empty and has no spans; texts of any
 length are read whole; repeated rows get equal results; an empty table gives
@@ -19,6 +25,7 @@ an empty table; columns beside those named are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,15 +61,19 @@ CLASSES = (
     CharacterClass("entropy_base64", _DIGITS + _SMALL + _SMALL.upper() + "+/_=-", 3.8),
 )
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Candidates that any of these is found in are no secrets.
-ALLOWED = (
-    r"^[^0-9]*$",  # words, rules and paths without a digit
-    r"^[0-9+/_=-]*$",  # numbers, dates, telephone numbers
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
-    r"^//",  # the rest of an address
-    r"(?i)example|placeholder|changeme|your[_-]|x{4}|0123456789|abcdefghij",
-)
+#: A run that is a UUID is no secret.
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+#: Spans of numbers, dates and telephone numbers.
+NUMBERS = "^[0-9+/_=-]*$"
+#: Words, rules and paths: no digit, and no letters that change case as words never do.
+LETTERS, SHUFFLED = "^[^0-9]*$", "[a-z][A-Z]{1,2}[a-z]{1,2}[A-Z]"
+#: A span is explained where these words leave no piece as long as a window.
+WORDS = "(?i)example|placeholder|changeme|your[_-]|x{4}|0123456789|abcdefghij"
+#: Runs that go on with an address after its protocol; there, parts of the path are pieces too.
+ADDRESS, PATH = "^//", "|/"
 KINDS = (*(b[0] for b in BASE), *(c.kind for c in CLASSES))
+#: Matches of one text that are placed one after the other.
+BLOCK = 256
 _UNIT = 1 << 20
 #: count * log2(count) for 0 to WINDOW, in units of 2^-20.
 WEIGHTS = [0, *(round(c * math.log2(c) * _UNIT) for c in range(1, WINDOW + 1))]
@@ -73,53 +84,78 @@ def most(least: float) -> int:
     return math.floor((math.log2(WINDOW) - least) * WINDOW * _UNIT)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def found(text: Column, pattern: str) -> Column:
     """Matches of a pattern: array of (start, end, text), code points, end exclusive."""
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
     )
     parts = F.filter(parts, lambda x: x["found"].isNotNull())
-    empty = F.lit(None).cast("array<struct<start:long,end:long,found:string>>")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(empty, F.array()).alias("out"))
+    matches = "array<struct<start:long,end:long,found:string>>"
+    none = F.array().cast(matches)
 
-    def step(state: Column, x: Column) -> Column:
+    def start_of(kind: str) -> Column:
+        return F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+
+    def place(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["before"])
         end = start + F.length(x["found"])
         one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    every = F.aggregate(parts, begin, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), every).otherwise(F.coalesce(empty, F.array()))
+    def moved(m: Column, by: Column) -> Column:
+        return F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["found"].alias("found"))
+
+    def follow(state: Column, block: Column) -> Column:
+        placed = F.transform(block["out"], lambda m: moved(m, state["at"]))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(placed)).alias("out"))
+
+    def blocks(every: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(every), F.lit(BLOCK))
+        return F.transform(firsts, lambda i: F.aggregate(F.slice(every, i, F.lit(BLOCK)), start_of(matches), place))
+
+    placed = F.aggregate(_bound(parts, blocks), start_of(f"array<{matches}>"), follow, lambda state: F.flatten(state["out"]))
+    return F.when(text.rlike(pattern), placed).otherwise(none)
+
 
+def hot_spans(letters: Column, kind: CharacterClass) -> Column:
+    """Joined windows of high entropy in the letters of one candidate: array of (start, end)."""
+    codes = F.transform(letters, lambda c: F.instr(F.lit(kind.alphabet), c))
+    return _bound(codes, lambda c: _slide(c, kind))
 
-def hot_spans(run: Column, kind: CharacterClass) -> Column:
-    """Joined windows of high entropy in one candidate: array of (start, end)."""
-    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(kind.alphabet), c))
-    leaving = F.concat(F.array_repeat(F.lit(0), WINDOW), F.transform(F.split(run, ""), lambda c: F.instr(F.lit(kind.alphabet), c)))
+
+def _slide(codes: Column, kind: CharacterClass) -> Column:
+    leaving = F.concat(F.array_repeat(F.lit(0), WINDOW), codes)
     steps = F.filter(F.arrays_zip(codes.alias("enter"), leaving.alias("leave")), lambda x: x["enter"].isNotNull())
     weights = F.array(*[F.lit(w).cast("long") for w in WEIGHTS])
     zeros = F.array_repeat(F.lit(0), len(kind.alphabet) + 1)
+    nowhere = F.lit(None).cast("long")
     begin = F.struct(
         zeros.alias("counts"),
         F.lit(0).cast("long").alias("total"),
         F.lit(0).alias("inside"),
         F.lit(0).cast("long").alias("at"),
+        nowhere.alias("start"),
+        nowhere.alias("end"),
         F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
     )
 
     def weight(count: Column) -> Column:
         return F.get(weights, count)
 
-    def spans(state: Column) -> Column:
-        """Spans after the window that ends at the state's place is judged."""
-        old, start = state["spans"], state["at"] - WINDOW
+    def judged(state: Column) -> tuple[Column, Column, Column]:
+        """The open span and the closed ones, after the window that ends at the state's place is judged."""
         hot = (state["inside"] >= WINDOW) & (state["total"] <= most(kind.least))
-        last = F.try_element_at(old, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), state["at"].alias("end"))
-        other = F.struct(start.alias("start"), state["at"].alias("end"))
-        touching = F.coalesce(last["end"] >= start, F.lit(False))
-        added = F.when(touching, F.concat(F.slice(old, 1, F.greatest(F.size(old) - 1, F.lit(0))), F.array(longer)))
-        return F.when(~hot, old).otherwise(added.otherwise(F.concat(old, F.array(other))))
+        first = state["at"] - WINDOW
+        opens = hot & ~F.coalesce(state["end"] >= first, F.lit(False))
+        start = F.when(opens, first).otherwise(state["start"])
+        end = F.when(hot, state["at"]).otherwise(state["end"])
+        closes = opens & state["start"].isNotNull()
+        return start, end, F.when(closes, F.concat(state["spans"], F.array(_range(state["start"], state["end"])))).otherwise(state["spans"])
 
     def step(state: Column, x: Column) -> Column:
         full = state["inside"] >= WINDOW
@@ -132,15 +168,36 @@ def hot_spans(run: Column, kind: CharacterClass) -> Column:
         change = change + F.when(full, weight(leave - 1) - weight(leave)).otherwise(F.lit(0).cast("long"))
         change = F.when(full & (x["enter"] == x["leave"]), F.lit(0).cast("long")).otherwise(change)
         inside = x["enter"] > 0
+        start, end, spans = judged(state)
         return F.struct(
             F.when(inside, counts).otherwise(zeros).alias("counts"),
             F.when(inside, state["total"] + change).otherwise(F.lit(0).cast("long")).alias("total"),
             F.when(inside, state["inside"] + 1).otherwise(F.lit(0)).alias("inside"),
             (state["at"] + 1).alias("at"),
-            spans(state).alias("spans"),
+            start.alias("start"),
+            end.alias("end"),
+            spans.alias("spans"),
         )
 
-    return F.aggregate(steps, begin, step, spans)
+    def closed(state: Column) -> Column:
+        start, end, spans = judged(state)
+        return F.when(start.isNotNull(), F.concat(spans, F.array(_range(start, end)))).otherwise(spans)
+
+    return F.aggregate(steps, begin, step, closed)
+
+
+def _range(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def allowed(run: Column, span: Column) -> Column:
+    """Whether the allow-list explains the text of a span that lies in a run."""
+
+    def pieces(pattern: str) -> Column:
+        return F.forall(F.split(span, pattern, -1), lambda piece: F.length(piece) < WINDOW)
+
+    words = pieces(WORDS) | (run.rlike(ADDRESS) & pieces(WORDS + PATH))
+    return run.rlike(UUID) | span.rlike(NUMBERS) | (span.rlike(LETTERS) & ~span.rlike(SHUFFLED)) | words
 
 
 def find(df: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
@@ -153,13 +210,7 @@ def find(df: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
     kinds = [_base_spans(F.col("_text"), number) for number in range(len(BASE))]
     rows = rows.withColumn("base", F.array_sort(F.concat(*kinds)))
 
-    def allowed(run: Column) -> Column:
-        out = F.lit(False)
-        for pattern in ALLOWED:
-            out = out | run.rlike(pattern)
-        return out
-
-    rows = rows.withColumn("_runs", F.filter(found(F.col("_text"), CANDIDATE), lambda r: ~allowed(r["found"])))
+    rows = rows.withColumn("_runs", found(F.col("_text"), CANDIDATE))
     added = [_added_spans(F.col("_runs"), number) for number in range(len(CLASSES))]
 
     def inside(s: Column) -> Column:
@@ -178,11 +229,15 @@ def _base_spans(text: Column, number: int) -> Column:
 
 
 def _added_spans(runs: Column, number: int) -> Column:
-    def of_run(run: Column) -> Column:
-        hot = hot_spans(run["found"], CLASSES[number])
+    def of_letters(run: Column, letters: Column) -> Column:
+        def explained(s: Column) -> Column:
+            part = F.array_join(F.slice(letters, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "")
+            return _bound(part, lambda span: allowed(run["found"], span))
+
+        hot = F.filter(hot_spans(letters, CLASSES[number]), lambda s: ~explained(s))
         return F.transform(hot, lambda s: _span(run["start"] + s["start"], len(BASE) + number, run["start"] + s["end"]))
 
-    return F.flatten(F.transform(runs, of_run))
+    return F.flatten(F.transform(runs, lambda run: _bound(F.split(run["found"], ""), lambda c: of_letters(run, c))))
 
 
 def _span(start: Column, kind: int, end: Column) -> Column:

@@ -1,8 +1,89 @@
+import re
+import struct
 import zlib
+from collections import defaultdict
+
+import xxhash
+import zstandard
 
 from vigil.llm import langid
 
 
+def spark_hash(number, *more):
+    """Hash of a long, then of integers, each seeded by the one before; signed."""
+    found = xxhash.xxh64_intdigest(struct.pack("<q", number), seed=42)
+    for i in more:
+        found = xxhash.xxh64_intdigest(struct.pack("<i", i), seed=found)
+    return found - (1 << 64) if found >> 63 else found
+
+
+def plain_samples(rows):
+    """(lang, rows learned from, sample) in the order in which ties go."""
+    classes, count = defaultdict(dict), defaultdict(int)
+    for r in rows:
+        if r.doc_id is None or r.lang is None or not r.text or zlib.crc32(str(r.doc_id).encode()) % 4 == 2:
+            continue
+        number = spark_hash(r.doc_id)
+        count[r.lang] += 1
+        old = classes[r.lang].get(number % langid.SAMPLE_ROWS)
+        classes[r.lang][number % langid.SAMPLE_ROWS] = min(old or (number, r.text), (number, r.text))
+    out = []
+    for lang in sorted(count, key=lambda x: (-count[x], x)):
+        parts = []
+        for number, text in sorted(classes[lang].values()):
+            if len(text) > langid.SAMPLE_CHARS:
+                part, size = len(text) // 8, langid.SAMPLE_CHARS // 8 - 1
+                starts = [part * i + spark_hash(number, i) % max(part - size + 1, 1) for i in range(8)]
+                text = "\n".join(text[a : a + size] for a in starts)
+            parts.append(text)
+        out.append((lang, "\n".join(parts).lower().encode()))
+    return out
+
+
+def plain_sizes(samples, data):
+    settings = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_LAZY, min_match=3, search_log=5, hash_log=17, chain_log=17, window_log=18,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    sums = {}
+    for lang, sample in samples:
+        words = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(compression_params=settings)
+        tool = zstandard.ZstdCompressor(compression_params=settings, dict_data=words)
+        sums[lang] = [sum(len(tool.compress(data[i : i + step])) for i in range(0, len(data), step)) for step in (2048, 64)]
+    first = sorted(x[0] for x in sums.values())
+    narrow = (first[1] - first[0]) / first[1] < 0.03
+    return {lang: x[0] + narrow * x[1] for lang, x in sums.items()}
+
+
+def test_equals_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, learned = docs.collect(), langid.learn(docs)
+    samples = plain_samples(rows)
+    assert [x for x, _ in samples] == learned.names and [x for _, x in samples] == learned.samples
+    got = {r.doc_id: r for r in langid.identify(docs, learned, ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        sizes = plain_sizes(samples, r.text.lower().encode())
+        best = min(sizes.values())
+        assert got[r.doc_id].lang_pred == next(x for x, size in sizes.items() if size == best)
+        assert abs(got[r.doc_id].score - 1 / sum(2.0 ** (best - x) for x in sizes.values())) < 1e-9
+
+
+def test_learns_from_all_over_a_text(spark, documents):
+    """A header in another language, as long as a sample, is not what is learned."""
+    head = "the cat and the dog were in the house " * 120
+    tail = "le chien et le chat sont dans la maison avec les enfants "
+    rows = [(i, head + tail * 800, "fr", "s", 1) for i in range(40)] + [(100 + i, head * 3, "en", "s", 1) for i in range(40)]
+    learned = langid.learn(documents(rows))
+    assert all(b"maison" in x for name, x in zip(learned.names, learned.samples) if name == "fr")
+    got = langid.identify(documents([(1, "avec les enfants dans la maison")]), learned, ["doc_id"]).collect()
+    assert got[0].lang_pred == "fr"
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs, langid.learn(docs), ["doc_id", "lang"]).collect()
@@ -56,8 +137,9 @@ def test_nothing_learned(spark, documents):
 
 
 def test_samples_are_bounded_and_skip_held_out_rows(spark, documents):
-    rows = [(i, f"word{i} " * 3000, "en", "s", 1) for i in range(300)]
+    rows = [(i, f"<{i}>x" * 3000, "en", "s", 1) for i in range(300)]  # marked, as excerpts cut words
     learned = langid.learn(documents(rows + rows), rows=8, chars=100)
     assert len(learned.samples[0]) <= 8 * 101
-    unseen = {f"word{i}" for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2}
-    assert not unseen & set(learned.samples[0].decode().split())
+    unseen = {str(i) for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2}
+    seen = set(re.findall("<([0-9]+)>", learned.samples[0].decode()))
+    assert seen and not unseen & seen

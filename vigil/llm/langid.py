@@ -28,14 +28,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.common import map_texts, may_learn
 
-#: The sample: at most this many rows a language, and of each this many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 4096
+#: The sample: at most this many rows a language, of each this many characters, in excerpts from so many parts of it.
+SAMPLE_ROWS, SAMPLE_CHARS, EXCERPTS = 64, 4096, 8
 #: Bytes compressed at once, and in the second look.
 BLOCK, PIECE = 2048, 64
 #: Relative distance of the two best below which a second look is taken.
@@ -69,7 +69,7 @@ def learn(
     Rows fall into ``rows`` classes by the hash of their id; each class gives
     the row of the smallest hash, so a sample has ``rows`` rows at most.  Counts
     cover all rows.  Names are chosen from narrow columns first; the second scan
-    keeps ``chars`` characters of the chosen rows alone.
+    keeps ``chars`` characters of the chosen rows alone, from all over the text.
     """
     known = df.where(may_learn(F.col(doc_id)) & F.col(lang).isNotNull() & (F.col(text) != ""))
     known = known.select(F.col(lang).alias("_lang"), F.xxhash64(doc_id).alias("_hash"), F.col(text).alias("_text"))
@@ -80,8 +80,8 @@ def learn(
         return Languages([], [])
     schema = T.StructType([T.StructField("_lang", T.StringType()), T.StructField("_hash", T.LongType())])
     wanted = df.sparkSession.createDataFrame([(p["_lang"], p["_hash"]) for p in picked], schema)
-    excerpt = F.substring("_text", 1, chars).alias("_text")
-    kept = known.join(F.broadcast(wanted), ["_lang", "_hash"]).select("_lang", "_hash", excerpt)
+    kept = known.join(F.broadcast(wanted), ["_lang", "_hash"])
+    kept = kept.select("_lang", "_hash", excerpts(F.col("_text"), F.col("_hash"), chars).alias("_text"))
     found = kept.groupBy("_lang", "_hash").agg(F.min("_text").alias("_text")).collect()
     count: dict[str, int] = {}
     for p in picked:
@@ -91,6 +91,16 @@ def learn(
     return Languages(names, [joined(rows) for rows in texts], least_margins(names, texts))
 
 
+def excerpts(text: Column, seed: Column, chars: int) -> Column:
+    """A text of at most ``chars`` characters, or a piece from a hashed place of each of ``EXCERPTS`` equal parts, by lines."""
+    size = max(1, chars // EXCERPTS - 1)
+    part = F.floor(F.length(text) / EXCERPTS)
+    room = F.greatest(part - size + 1, F.lit(1))
+    starts = [part * i + F.pmod(F.xxhash64(seed, F.lit(i)), room) + 1 for i in range(EXCERPTS)]
+    pieces = [F.substring(text, start.cast("int"), F.lit(size)) for start in starts]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *pieces))
+
+
 def joined(rows: list[str]) -> bytes:
     return "\n".join(rows).lower().encode()
 

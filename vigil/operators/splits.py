@@ -119,6 +119,13 @@ def latest_snapshot(panel: DataFrame) -> DataFrame:
     return panel.join(last, "prediction_time", "left_semi")
 
 
+def fold_years(rows: DataFrame, train_start: str = "2022-01-01") -> list[int]:
+    """Years with predictions from the start on, one fold each; the first has nothing before it to train on."""
+    year = F.year("prediction_time")
+    found = rows.where(F.col("prediction_time") >= _at(train_start)).select(year.alias("y")).distinct()
+    return sorted(r["y"] for r in found.collect())[1:]  # a handful
+
+
 def expanding_folds(
     rows: DataFrame, years: Sequence[int], train_start: str = "2022-01-01"
 ) -> DataFrame:

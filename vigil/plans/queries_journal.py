@@ -684,6 +684,84 @@ def _(spark, sf):
     )
 
 
+@query(
+    "repair_file_source",
+    """SELECT year(o_orderdate)::INT AS year, count(*) AS rows, count(DISTINCT o_custkey) AS objects,
+       count(*) FILTER (WHERE trunc(o_totalprice) < 50000) AS accepted_early FROM orders GROUP BY 1""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "repair")
+    stamps = {c: F.col(c).cast("timestamp_ntz") for c in ("dismantle_start", "acceptance_date")}
+    T.write_report(_plans(spark, sf)[0].withColumns(stamps), path)
+    rows = D.read_table(spark, path, D.REPAIR_PLAN_SCHEMA)
+    return rows.groupBy(F.year("dismantle_start").alias("year")).agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("object_label").alias("objects"),
+        S.count_if(F.col("acceptance_date") < F.col("dismantle_start")).alias("accepted_early"),
+    )
+
+
+@query(
+    "equipment_file_source",
+    """SELECT c_nationkey::INT AS schedule_group, c_mktsegment AS equipment, count(*) AS rows,
+       sum(c_custkey)::BIGINT AS quantity FROM customer GROUP BY ALL""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "equipment")
+    T.write_report(
+        B.table(spark, sf, "customer").select(
+            F.col("c_mktsegment").alias("equipment"),
+            F.col("c_custkey").alias("quantity"),
+            F.col("c_nationkey").alias("schedule_group"),
+            F.col("c_name").alias("object_label"),
+        ),
+        path,
+    )
+    rows = D.read_table(spark, path, D.EQUIPMENT_SCHEMA)
+    return rows.groupBy("schedule_group", "equipment").agg(
+        F.count("*").alias("rows"), F.sum("quantity").alias("quantity")
+    )
+
+
+@query(
+    "dictionary_files",
+    """SELECT sensor_type, n_name AS object_name, count(*) AS channels, min(channel_key)::BIGINT AS first_channel,
+       count(DISTINCT system_tag) AS tags FROM channels_t JOIN nation ON n_nationkey = object_id GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Channels and objects written as text, read as dictionaries and joined."""
+    paths = scratch_path(spark, "channels"), scratch_path(spark, "objects")
+    T.write_report(B.channels(spark, sf), paths[0])
+    T.write_report(B.objects(spark, sf), paths[1])
+    named = D.read_channels(spark, paths[0]).join(D.read_objects(spark, paths[1]), fv.OBJECT_KEY)
+    return named.groupBy(F.col(fv.SENSOR_TYPE).alias("sensor_type"), F.col(fv.OBJECT_NAME).alias("object_name")).agg(
+        F.count("*").alias("channels"),
+        F.min(fv.CHANNEL_KEY).alias("first_channel"),
+        F.count_distinct(fv.SYSTEM_TAG).alias("tags"),
+    )
+
+
+@query(
+    "state_file_source",
+    """SELECT c.sensor_type, lower(trim(j.state)) AS state, count(DISTINCT c.object_id) AS sets, count(DISTINCT j.alarm) AS alarm_variants
+       FROM journal_t j JOIN channels_t c ON c.channel_key::VARCHAR = j.channel_id WHERE j.state IS NOT NULL GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Every state of the journal as a dictionary file; copies and spaces around a state go when it is read."""
+    path = scratch_path(spark, "states")
+    events = J.attach_channels(B.journal(spark, sf), B.channels(spark, sf)).where("state IS NOT NULL")
+    entries = events.select(
+        F.col("sensor_type").alias(fv.SENSOR_TYPE),
+        F.col("object_id").alias(fv.STATE_SET),
+        F.concat(F.lit(" "), "state").alias(fv.STATE_NAME),
+        F.col("alarm").cast("string").alias(fv.STATE_ALARM),
+    )
+    T.write_report(entries, path)
+    return D.read_states(spark, path).groupBy(F.col(fv.SENSOR_TYPE).alias("sensor_type"), "state").agg(
+        F.count_distinct(fv.STATE_SET).alias("sets"), F.count_distinct(fv.STATE_ALARM).alias("alarm_variants")
+    )
+
+
 _ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 _CHANGED_ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + if(o_orderkey % 1000 = 7, 1, 0) AS o_totalprice
   FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 1000 = 11) WHERE o_orderkey % 1000 <> 3"""

@@ -379,6 +379,23 @@ def _(spark, sf):
     return rounded(found, _LOGS + _SINCE, 6)
 
 
+@query(
+    "episode_leakage",
+    """SELECT 'as built' AS kind, count(*) FILTER (WHERE episode_feature_max_ts >= prediction_time)
+         AS future_episode_feature_max_ts FROM episode_features_t
+       UNION ALL SELECT 'three days early', count(*) FILTER (WHERE episode_feature_max_ts >= prediction_time - INTERVAL 3 DAY)
+       FROM episode_features_t""",
+)
+def _(spark, sf):
+    """The guard of episode features, on them and on rows whose prediction is put three days early."""
+    keys = B.panel(spark, sf).select("channel_id", "prediction_time")
+    found = EF.episode_features(keys, B.fault_table(spark, sf))
+    early = found.withColumn("prediction_time", F.col("prediction_time") - F.expr("interval 3 days"))
+    checks = {"as built": found, "three days early": early}
+    parts = [Q.leakage(rows, ["episode_feature_max_ts"]).withColumn("kind", F.lit(k)) for k, rows in checks.items()]
+    return parts[0].unionByName(parts[1])
+
+
 # the check states the shares by itself instead of reading the formulas
 _SHARES = [
     ("alarm_share_1d", "alarms_1d", "events_1d"),

@@ -86,6 +86,13 @@ def predictions(spark, sf):
     return B.prepared(spark, sf, "predictions", _predictions)
 
 
+def stored(spark, sf):
+    """The stored records of the active versions among those of a retired one, all of them high risks."""
+    found = predictions(spark, sf)
+    retired = {"model_version": F.lit("s-0"), "risk": F.lit("high"), "id": F.concat(F.lit("old-"), "id")}
+    return found.unionByName(found.where("direction = 'sensor'").withColumns(retired))
+
+
 part(
     "predictions_t",
     """SELECT substr(sha256(concat_ws('|', direction, entity_id, strftime(prediction_time, '%Y-%m-%dT%H:%M:%S'), version)), 1, 24) AS id,
@@ -184,7 +191,8 @@ def _(spark, sf):
        ORDER BY score DESC, prediction_time DESC, id LIMIT 20 OFFSET 10""",
 )
 def _(spark, sf):
-    total, page = K.prediction_page(predictions(spark, sf), 20, 10, risk="high", term="ASIA")
+    active = K.active(stored(spark, sf), MODELS, latest=False)
+    total, page = K.prediction_page(active, 20, 10, risk="high", term="ASIA")
     return page.select("id", "entity_id", "score", "risk", F.lit(total).cast("long").alias("total"))
 
 
@@ -340,7 +348,7 @@ def _(spark, sf):
        GROUP BY 1""",
 )
 def _(spark, sf):
-    return K.trend(predictions(spark, sf), days=10)
+    return K.trend(K.active(stored(spark, sf), MODELS, latest=False), days=10)
 
 
 part(
@@ -468,7 +476,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = scratch_path(spark, "export")
-    latest = K.active(predictions(spark, sf), MODELS)
+    latest = K.ranked(K.active(predictions(spark, sf), MODELS))
     T.export_csv(latest.withColumn("sensor_name", F.concat(F.lit("="), "sensor_name")), path)
     return spark.read.option("header", True).csv(path).select(
         "id", "prediction_time", "sensor_name"

@@ -9,7 +9,7 @@ from vigil.operators import model as M
 from vigil.operators import splits as SP
 from vigil.plans import bindings as B
 from vigil.plans.queries_panel import monthly, rounded
-from vigil.plans.queries_splits import yearly
+from vigil.plans.queries_splits import FOLD_START, yearly
 from vigil.plans.registry import part, query
 from vigil.session import scratch_path
 
@@ -298,20 +298,18 @@ def _(spark, sf):
     return rounded(found, ["early_share"], 9)
 
 
-_FOLDS = (1995, 1996, 1997)
-
-
 @query(
     "fold_summary",
     f"""SELECT count(*) AS folds, round(avg(ap), 9) AS cv_pr_auc_mean, round(stddev_samp(ap), 9) AS cv_pr_auc_std,
         round((SELECT sum(tp / positives * precision) FROM
-          ({_curve_sql("(SELECT * FROM scored_t WHERE year(prediction_time) IN (1995, 1996, 1997)) s")})), 9) AS oof_pr_auc
+          ({_curve_sql("(SELECT * FROM scored_t WHERE year(prediction_time) IN (SELECT fold FROM folds_t)) s")})), 9) AS oof_pr_auc
         FROM (SELECT fold, sum(tp / positives * precision) AS ap FROM
-          ({_curve_sql("(SELECT *, year(prediction_time) AS fold FROM scored_t WHERE year(prediction_time) IN (1995, 1996, 1997)) s", "1", "fold")})
+          ({_curve_sql("(SELECT *, year(prediction_time) AS fold FROM scored_t WHERE year(prediction_time) IN (SELECT fold FROM folds_t)) s", "1", "fold")})
         GROUP BY fold)""",
 )
 def _(spark, sf):
-    folds = SP.expanding_folds(yearly(spark, sf), _FOLDS, "1993-01-01")
+    scored = yearly(spark, sf)
+    folds = SP.expanding_folds(scored, SP.fold_years(scored, FOLD_START), FOLD_START)
     held = folds.where(F.col("role") == "validation")
     found = E.fold_summary(E.pr_curve(held, Y, P, by=["fold"]), E.pr_curve(held, Y, P))
     return rounded(found, ["cv_pr_auc_mean", "cv_pr_auc_std", "oof_pr_auc"], 9)
@@ -407,8 +405,8 @@ def _(spark, sf):
 def _(spark, sf):
     end = F.col("prediction_time") + F.expr("interval 48 hours")
     rows = _model_rows(spark, sf).withColumn("target_end", end)
-    folds = SP.expanding_folds(rows, (1996, 1997), "1993-01-01")
-    scored = M.out_of_fold(folds, (1996, 1997), FEATURES, TARGET)
+    years = SP.fold_years(rows, FOLD_START)
+    scored = M.out_of_fold(SP.expanding_folds(rows, years, FOLD_START), years, FEATURES, TARGET)
     return E.ranking_metrics(E.pr_curve(scored, TARGET, "probability", by=["fold"]), ["fold"])
 
 

@@ -150,23 +150,27 @@ def yearly(spark, sf):
     return rows.withColumn("target_end", end)
 
 
-_YEARS = (1995, 1996, 1997)
+FOLD_START = "1993-01-01"
+part(
+    "folds_t",
+    f"""SELECT DISTINCT year(prediction_time)::INT AS fold, make_timestamp(year(prediction_time), 1, 1, 0, 0, 0) AS first_day,
+        make_timestamp(year(prediction_time) + 1, 1, 1, 0, 0, 0) AS day_after
+        FROM scored_t WHERE year(prediction_time) >
+          (SELECT min(year(prediction_time)) FROM scored_t WHERE prediction_time >= TIMESTAMP '{FOLD_START}')""",
+)
 
 
 @query(
     "expanding_folds",
-    " UNION ALL ".join(
-        f"""SELECT {y} AS fold, if(prediction_time >= TIMESTAMP '{y}-01-01', 'validation', 'train') AS role,
-            count(*) AS rows, sum(label)::BIGINT AS positives FROM scored_t
-            WHERE (prediction_time >= TIMESTAMP '1993-01-01' AND
-                   prediction_time + INTERVAL 48 HOUR <= TIMESTAMP '{y}-01-01')
-               OR (prediction_time >= TIMESTAMP '{y}-01-01' AND prediction_time < TIMESTAMP '{y + 1}-01-01')
-            GROUP BY ALL"""
-        for y in _YEARS
-    ),
+    f"""SELECT fold, if(prediction_time >= first_day, 'validation', 'train') AS role, count(*) AS rows,
+        sum(label)::BIGINT AS positives FROM scored_t JOIN folds_t
+          ON (prediction_time >= TIMESTAMP '{FOLD_START}' AND prediction_time + INTERVAL 48 HOUR <= first_day)
+          OR (prediction_time >= first_day AND prediction_time < day_after)
+        GROUP BY ALL""",
 )
 def _(spark, sf):
-    folds = SP.expanding_folds(yearly(spark, sf), _YEARS, "1993-01-01")
+    scored = yearly(spark, sf)
+    folds = SP.expanding_folds(scored, SP.fold_years(scored, FOLD_START), FOLD_START)
     return folds.groupBy("fold", "role").agg(
         F.count("*").alias("rows"), F.sum("label").alias("positives")
     )

@@ -66,6 +66,7 @@ def export_rows(predictions: DataFrame) -> DataFrame:
 
 
 def export_csv(predictions: DataFrame, path: str) -> None:
+    """Rows as text files; an ordered table keeps its order from file to file, by their names."""
     rows = export_rows(predictions)
     stamps = {name: S.iso_text(F.col(name)) for name, kind in rows.dtypes if "timestamp" in kind}
     write_report(rows.withColumns(stamps) if stamps else rows, path)

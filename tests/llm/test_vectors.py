@@ -151,3 +151,48 @@ def test_pruned_graph_is_diverse_and_connected():
                 reached.add(int(n))
                 open_.append(int(n))
     assert len(reached) == 800
+
+
+def near_copies(count, noise, seed):
+    draw = np.random.default_rng(seed)
+    middle = draw.normal(size=16)
+    return (middle / np.linalg.norm(middle) + draw.normal(size=(count, 16)) * noise).astype(np.float32)
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-4, 1e-5])
+def test_pruning_equals_exact_distances(noise):
+    """Also for near copies, whose distances are small beside their norm."""
+    points = near_copies(200, noise, 7)
+    owner = np.arange(20)
+    some = np.array([[j for j in range(100, 196)]] * 20)
+    got = graph_index.prune(points, owner, some.copy(), 1.2)
+    exact = points.astype(np.float64)
+    for i, found in zip(owner, got):
+        kept = []
+        for j in sorted(some[i], key=lambda j: distance(exact[i], exact[j])):
+            if len(kept) < graph_index.DEGREE and all(1.2 * distance(exact[k], exact[j]) > distance(exact[i], exact[j]) for k in kept):
+                kept.append(j)
+        assert [n for n in found if n >= 0] == kept
+
+
+def test_no_proposed_edge_is_lost(monkeypatch):
+    """More edges towards one node than a round takes give what one large round gives."""
+    points = np.concatenate([np.zeros((1, 400)), np.eye(400)]).astype(np.float32)
+    monkeypatch.setattr(graph_index, "ROOM", 401)
+    edges = np.full((401, 401), -1, dtype=np.int32)
+    owner = np.arange(1, 301)
+    graph_index.add_backward(points, edges, owner, np.zeros((300, 1), dtype=np.int32), 1.2)
+    assert sorted(edges[0][edges[0] >= 0]) == list(owner)
+
+
+def test_recall_on_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(graph_index, "SHARD_ROWS", 500)
+    copies = near_copies(500, 1e-5, 8)
+    rows = vectors(1000, 9, 16) + [(1000 + i, [float(x) for x in v]) for i, v in enumerate(copies)]
+    got = grouped(graph_index.nearest(frame(spark, rows), F.col("id") % 50 == 0).collect())
+    known, hits = np.array([v for _, v in rows]), 0
+    for q, found in got.items():
+        far = np.sqrt(((known - known[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits += len({i for _, i, _ in found} & set(np.lexsort((np.arange(len(rows)), far))[:10].tolist()))
+    assert len(got) == 30 and hits >= 0.95 * 300

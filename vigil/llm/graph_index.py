@@ -37,7 +37,7 @@ SPREAD = 1.2
 #: Nodes searched for together, and nodes whose neighbours are opened in one step.
 TOGETHER, OPENED = 256, 4
 PASSES = 2
-MOST_NEW = 64  # edges towards one node that a batch may propose; the nearest count
+MOST_NEW = 64  # proposed edges towards one node that a round takes; further ones wait for the next round
 
 _INDEX = "length int, nodes int, entry int, ids binary, members binary, points binary, edges binary"
 
@@ -81,7 +81,11 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, to: np.ndarra
 
 
 def prune(points: np.ndarray, owner: np.ndarray, some: np.ndarray, spread: float) -> np.ndarray:
-    """Of candidates ``some`` (b x m, -1 for none) the diverse neighbours (b x DEGREE) of ``owner``."""
+    """Of candidates ``some`` (b x m, -1 for none) the diverse neighbours (b x DEGREE) of ``owner``.
+
+    Distances between candidates are taken from points moved by their owner, so
+    that rounding is small beside the distance they are compared with.
+    """
     some = np.where(some == owner[:, None], -1, some)
     some.sort(axis=1)
     some[:, 1:][some[:, 1:] == some[:, :-1]] = -1
@@ -89,7 +93,7 @@ def prune(points: np.ndarray, owner: np.ndarray, some: np.ndarray, spread: float
     far[some < 0] = np.inf
     order = np.argsort(far, axis=1, kind="stable")
     some, far = np.take_along_axis(some, order, 1), np.take_along_axis(far, order, 1)
-    each = points[some]
+    each = points[some] - points[owner][:, None, :]
     size = np.einsum("bmd,bmd->bm", each, each)
     between = size[:, :, None] + size[:, None, :] - 2 * np.matmul(each, each.transpose(0, 2, 1))
     alive, kept = some >= 0, np.zeros(some.shape, dtype=bool)
@@ -104,7 +108,7 @@ def prune(points: np.ndarray, owner: np.ndarray, some: np.ndarray, spread: float
 
 
 def add_backward(points: np.ndarray, edges: np.ndarray, owner: np.ndarray, chosen: np.ndarray, spread: float) -> None:
-    """Edges from the chosen neighbours back to their owners; nodes without room are pruned."""
+    """Edges from the chosen neighbours back to their owners, the nearest first; nodes without room are pruned."""
     head, tail = chosen.ravel(), np.repeat(owner, chosen.shape[1])
     head, tail = head[chosen.ravel() >= 0], tail[chosen.ravel() >= 0]
     gap = points[head] - points[tail]
@@ -112,10 +116,14 @@ def add_backward(points: np.ndarray, edges: np.ndarray, owner: np.ndarray, chose
     head, tail = head[order], tail[order]
     first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else np.zeros(0, np.int64)
     place = np.arange(len(head)) - np.repeat(first, np.diff(np.append(first, len(head))))
-    head, tail, place = (x[place < MOST_NEW] for x in (head, tail, place))
+    for start in range(0, place.max(initial=-1) + 1, MOST_NEW):
+        now = (place >= start) & (place < start + MOST_NEW)
+        _add_round(points, edges, head[now], tail[now], place[now] - start, spread)
+
+
+def _add_round(points: np.ndarray, edges: np.ndarray, head: np.ndarray, tail: np.ndarray, place: np.ndarray, spread: float) -> None:
+    """Edges from ``head`` to ``tail``; ``place`` numbers those of one head."""
     nodes, at = np.unique(head, return_inverse=True)
-    if not len(nodes):
-        return
     new = np.full((len(nodes), place.max() + 1), -1, dtype=np.int32)
     new[at, place] = tail
     known = (new[:, :, None] == edges[nodes][:, None, :]).any(axis=2)

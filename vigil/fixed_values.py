@@ -254,3 +254,42 @@ MEASURE_TEXT = {
     "numeric_min": "Минимум числовых показаний",
     "numeric_max": "Максимум числовых показаний",
 }
+EXTRA_TEXT = {
+    "active_days_7d": "Дни с сообщениями за 7 суток",
+    "active_days_30d": "Дни с сообщениями за 30 суток",
+    "hours_since_last_event": "Часы после последнего известного сообщения",
+    "history_days": "Дни от первого известного сообщения, не возраст оборудования",
+    "alarm_rate_7d": "alarms_7d / events_7d",
+    "event_ratio_1d_7d": "events_1d / (events_7d / 7)",
+    "event_ratio_7d_30d": "(events_7d / 7) / (events_30d / 30)",
+    "dow": "ISO день недели 1..7",
+    "month": "Месяц 1..12",
+    "dow_sin": "Циклическое кодирование дня недели, sin",
+    "dow_cos": "Циклическое кодирование дня недели, cos",
+    "history_complete_days": "Дни с глобальным потоком во всех 24 часах за предыдущие 30 дней",
+    "global_complete_days_1d": "Полнота глобального потока предыдущих суток, 0/1",
+    "global_complete_days_7d": "Дни с глобальным потоком во всех 24 часах за предыдущие 7 дней",
+}
+# What keys, labels and diagnostics of the panel mean, and when a column is known.
+OTHER_TEXT = {
+    "channel_id": "Строковый идентификатор канала; ключ, не признак",
+    "prediction_time": "Момент расчёта, полночь",
+    "target_start": "t + 24 часа",
+    "target_end": "t + 48 часов, не включается",
+    "sensor_type_current": "Тип из текущего справочника, историчность не подтверждена",
+    "object_id_current": "Объект из текущего справочника",
+    "system_type_current": "Система из текущего справочника",
+    "feature_max_ts": "Последнее использованное событие, < t",
+    "last_explicit_state": "Последнее Норма/Неисправен/ambiguous до t",
+    "last_state_ts": "Время последнего явного изменения до t",
+    "at_risk_with_history": "Норма до t, возраст наблюдения >=30 дней и полные предыдущие сутки",
+    "channel_followup_48h": "Будущая наблюдаемость канала; запрещено в X",
+    "global_complete_0_24h": "Поток во всех часах суток [t,t+24h); запрещено в X",
+    "global_complete_24_48h": "Поток во всех часах целевых суток; запрещено в X",
+    "first_seen": "Первое сообщение канала",
+    "last_seen": "Последнее сообщение во всей выгрузке; запрещено в X",
+    "target_fault_24_48h": "Новый эпизод Неисправен в [t+24h,t+48h); null = цензура",
+    "target_fault_0_24h": "Новый эпизод в [t,t+24h); вспомогательная метка, запрещено в X",
+}
+KNOWN_BEFORE = "prediction_time; события строго раньше t"
+KNOWN_LATER = "не входит в X; возможна информация будущего"

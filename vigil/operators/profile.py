@@ -425,15 +425,44 @@ def top_rows(df: DataFrame, column: str, n: int, *ties: str, smallest: bool = Fa
     return df.orderBy(order, *ties).limit(n)
 
 
-def feature_dictionary(spark, windows=fv.PANEL_WINDOWS) -> DataFrame:
-    """What every windowed feature means, generated from the lists of measures."""
-    text = [(m, t) for m, t in fv.MEASURE_TEXT.items()]
-    base = spark.createDataFrame(text, "measure string, meaning string")
-    spans = F.explode(F.lit(list(windows)))
-    return base.withColumn("days", spans).select(
-        F.concat_ws("", "measure", F.lit("_"), "days", F.lit("d")).alias("column"),
-        F.lit("feature").alias("role"),
-        F.concat_ws("", "meaning", F.lit(" за предыдущие "), "days", F.lit(" суток")).alias(
-            "definition"
-        ),
-    )
+def feature_dictionary(panel: DataFrame, training: Column | None = None, windows: Sequence[int] = fv.PANEL_WINDOWS) -> DataFrame:
+    """Role, type, meaning, gaps and use of every column of a panel, one row a column.
+
+    ``use_default`` marks features with at least two values in the rows that
+    ``training`` chooses (all rows unless given).  A column without a known
+    meaning is a diagnostic with a NULL definition.  All counts come from one
+    aggregate of one row, which is then opened.
+    """
+    chosen = F.lit(True) if training is None else training
+    features = {f"{m}_{w}d": f"{text} за предыдущие {w} суток" for m, text in fv.MEASURE_TEXT.items() for w in windows}
+    features |= fv.EXTRA_TEXT
+    cells, items = [F.count("*").alias("_rows")], []
+    for n, (c, kind) in enumerate(panel.dtypes):
+        value, role = F.col(f"`{c}`"), "metadata_or_diagnostic"
+        if c in features:
+            role = "feature"
+        elif c.startswith("target_fault"):
+            role = "label"
+        trained = F.when(chosen, value)
+        cells.append(
+            F.struct(
+                F.count(value).alias("filled"),
+                F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias("constant"),
+                F.coalesce(F.min(trained) != F.max(trained), F.lit(False)).alias("trained"),
+            ).alias(f"_{n}")
+        )
+        items.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(role).alias("role"),
+                F.lit(kind).alias("dtype"),
+                F.lit(features.get(c, fv.OTHER_TEXT.get(c))).cast("string").alias("definition"),
+                F.lit(fv.KNOWN_BEFORE if role == "feature" else fv.KNOWN_LATER).alias("available_at"),
+                (F.col(f"_{n}.trained") & F.lit(role == "feature")).alias("use_default"),
+                F.col("_rows").alias("rows"),
+                (F.col(f"_{n}.filled") < F.col("_rows")).alias("has_nulls"),
+                F.col(f"_{n}.constant").alias("is_constant"),
+            )
+        )
+    # With inline, Spark 4.1.2 returned no row for a small panel (see the test); explode returns all.
+    return panel.agg(*cells).select(F.explode(F.array(*items)).alias("_item")).select("_item.*")

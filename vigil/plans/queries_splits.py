@@ -9,6 +9,7 @@ from vigil.operators import profile as R
 from vigil.operators import quality as Q
 from vigil.operators import splits as SP
 from vigil.operators.contracts import allowlist
+from vigil.operators.panel import DIAGNOSTICS, LABELS, METADATA, panel_feature_names
 from vigil.plans import bindings as B
 from vigil.plans.queries_panel import monthly, rounded, smoke_panel
 from vigil.plans.registry import part, query
@@ -589,11 +590,28 @@ def _(spark, sf):
     )
 
 
-@query("described_features")
+_TRAINED = f"""target_end <= TIMESTAMP '{VALIDATION}' AND at_risk_with_history AND {LABEL} IS NOT NULL
+     AND channel_followup_48h AND global_complete_24_48h"""
+_TYPES = "MAP {'VARCHAR': 'string', 'TIMESTAMP': 'timestamp_ntz', 'INTEGER': 'int'}"
+
+
+def _described_sql() -> str:
+    spans = {f"{m}_{w}d": f"{t} за предыдущие {w} суток" for m, t in fv.MEASURE_TEXT.items() for w in fv.PANEL_WINDOWS}
+    roles = {c: "feature" for c in panel_feature_names()} | {c: "label" for c in LABELS}
+    known = {"feature": fv.KNOWN_BEFORE, "label": fv.KNOWN_LATER, "metadata_or_diagnostic": fv.KNOWN_LATER}
+    cells = []
+    for c in [*METADATA, *panel_feature_names(), *LABELS, *DIAGNOSTICS]:
+        role = roles.get(c, "metadata_or_diagnostic")
+        kind = "'tinyint'" if role == "label" else f"coalesce({_TYPES}[any_value(typeof({c}))], lower(any_value(typeof({c}))))"
+        used = f"(count(DISTINCT {c}) FILTER (WHERE {_TRAINED}) > 1)::INT" if role == "feature" else "0"
+        cells.append(
+            f"""{{'column': '{c}', 'role': '{role}', 'dtype': {kind}, 'definition': '{(spans | fv.EXTRA_TEXT | fv.OTHER_TEXT)[c]}',
+            'available_at': '{known[role]}', 'use_default': {used}, 'rows': count(*), 'has_nulls': (count({c}) < count(*))::INT,
+            'is_constant': (count(DISTINCT {c}) <= 1)::INT}}"""
+        )
+    return f"SELECT unnest(u) FROM (SELECT unnest([{', '.join(cells)}]) AS u FROM panel_t)"
+
+
+@query("described_features", _described_sql())
 def _(spark, sf):
-    panel = B.panel(spark, sf)
-    meaning = R.feature_dictionary(spark)
-    measures = [*fv.COUNT_MEASURES, *fv.NUMERIC_MEASURES]
-    names = [f"{m}_{w}d" for m in measures for w in fv.PANEL_WINDOWS]
-    found = R.null_and_constant(panel, names).withColumnRenamed("feature", "column")
-    return meaning.join(found, "column", "left")
+    return R.feature_dictionary(B.panel(spark, sf), F.expr(_TRAINED.replace("TIMESTAMP", "TIMESTAMP_NTZ")))

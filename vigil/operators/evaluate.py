@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +10,9 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars as S
 from vigil.operators.ordered import FIRST
 from vigil.operators.quantiles import with_quantiles
-from vigil.operators.ranges import running
+from vigil.operators.ranges import positions, running
 
 EPS = 1e-8
-#: Chances of at most 0, 1, 2, ... draws of a channel in a bootstrap repeat (Poisson with mean one).
-DRAWN_AT_MOST = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
 
 
 def scored(score: Column) -> Column:
@@ -333,20 +330,25 @@ def bootstrap_draws(
 ) -> DataFrame:
     """Metrics of each bootstrap repeat, whole channels drawn with replacement.
 
-    How often a repeat draws a channel is a Poisson number of mean one, found
-    from a hash of repeat and channel, hence the same on every run and in every
-    engine.  So no channel has to be numbered or looked up: each adds itself to
-    the sums of all repeats, which are formed before the shuffle.
+    A repeat draws as many channels as there are.  Channels are numbered over
+    ranges of their hash, so numbering needs no global sort.  Every channel opens
+    one draw per repeat; a draw is a hash, hence the same on every run and in
+    every engine.
     """
     clusters = cluster_counts(df, key, label, score, threshold)
-    opened = clusters.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("repeat"), F.coalesce("_key", F.lit("~")))
-    chance = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    times = F.lit(0)
-    for level in DRAWN_AT_MOST:
-        times = times + (chance >= F.lit(level)).cast("int")
-    drawn = opened.select("repeat", "tp", "fp", "fn", times.alias("_times")).where("_times > 0")
-    sums = drawn.groupBy("repeat").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in ("tp", "fp", "fn")])
+    order = [F.substring(F.md5("_key"), 1, 3).asc_nulls_last(), F.col("_key").asc_nulls_last()]
+    numbered = positions(clusters, [], order, "_index", "_total")
+    slots = numbered.select(
+        "_index", "_total", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
+    )
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("repeat"), F.col("_index"))
+    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    drawn = slots.select("repeat", (number % F.col("_total")).alias("_index"))
+    sums = (
+        drawn.join(numbered.select("_index", "tp", "fp", "fn"), "_index")
+        .groupBy("repeat")
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.select(
         "repeat",

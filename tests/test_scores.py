@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,13 @@ def test_every_repeat_draws_as_many_channels_as_there_are(spark):
         assert {m: r[m] for m in ("precision", "recall", "f1")} == pytest.approx(drawn_metrics(repeat))
 
 
+def test_intervals_are_those_of_draws_with_replacement(spark):
+    draws = [drawn_metrics(repeat) for repeat in range(1, 401)]
+    for r in E.cluster_bootstrap(cluster_rows(spark), "channel_id", "y", "p", 0.5).collect():
+        low, high = np.quantile([d[r["metric"]] for d in draws], [0.025, 0.975])
+        assert (r["low_95"], r["high_95"]) == pytest.approx((low, high))
+
+
 def model_rows(spark, n=600, seed=2):
     rng = random.Random(seed)
     rows = []

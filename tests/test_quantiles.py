@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from vigil.operators import evaluate as E
+from vigil.operators import profile as R
 from vigil.operators import quality as Q
 from vigil.operators.quantiles import exact_quantiles
 
@@ -23,6 +24,22 @@ def test_equal_to_numpy_per_group(spark, accuracy):
         np.testing.assert_allclose(r.quantiles, np.quantile(values[r.g], FRACTIONS), rtol=1e-12)
 
 
+@pytest.fixture
+def no_small_tables(spark):
+    """Tables of any size are joined like large ones."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_values_of_a_group_do_not_meet_in_one_task(spark, no_small_tables):
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(700)], "a int, b double")
+    found = R.describe(df, ["a", "b"]).orderBy("column")
+    assert [r.p50 for r in found.collect()] == [3.0, 349.5]
+    values = exact_quantiles(df, ["a"], "b", [0.5])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in values and "SortMergeJoin" not in values
+
+
 def scored(spark):
     rows = [(1, 0.9), (0, 0.2), (0, None), (1, NAN)]
     return spark.createDataFrame(rows, "y int, s double")

@@ -45,7 +45,8 @@ def exact_quantiles(
         ]
     )
     # bounds first: values above are left out, values below become one row a group, quantile and task
-    bounded = rows.join(sketch.select("_g", wanted.alias("_wanted")), "_g")
+    # one row a group goes to the values, which stay where they are: a join that moves them puts a whole group into one task
+    bounded = rows.join(F.broadcast(sketch.select("_g", wanted.alias("_wanted"))), "_g")
     each = bounded.select("_g", "_v", F.explode("_wanted").alias("_w")).where("_v <= _w.high")
     cut = F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")
     near = each.groupBy("_g", "_w", cut).agg(F.count("*").alias("_n"))

@@ -82,3 +82,12 @@ def test_null_clusters_are_numbered(spark):
 
     rows = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
     assert sorted(r.n for r in number_rows(rows, "k", "n").collect()) == [0, 1, 2]
+
+
+def test_outliers_do_not_shuffle_values_by_column(spark, no_small_tables):
+    df = spark.createDataFrame([(float(i),) for i in [*range(1, 100), 1000]], "a double")
+    found = R.outlier_share(df, ["a"])
+    (row,) = found.collect()
+    q1, q3 = np.quantile([*range(1, 100), 1000], [0.25, 0.75])
+    assert (row.q1, row.q3, row.iqr, row.outside_percent) == (q1, q3, q3 - q1, 1.0)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()

@@ -41,6 +41,16 @@ def test_pages_of_any_depth(spark, made, tmp_path):
     assert "PartitionFilters: [isnotnull(block" in plan and "Offset" not in plan
 
 
+def test_long_lists_get_wider_blocks(spark, made, tmp_path, monkeypatch):
+    rows, df = made
+    order = in_order(rows)
+    monkeypatch.setattr(K, "RANKED_BLOCKS", 7, raising=False)
+    K.write_ranked(df, f"{tmp_path}/ranked", rows=2)
+    assert len(list(tmp_path.glob("ranked/block=*"))) == 7
+    for offset in (0, 56, 57, 200, 390, 400):
+        assert ids(K.ranked_page(spark, f"{tmp_path}/ranked", 20, offset, rows=2)) == order[offset : offset + 20]
+
+
 def test_pages_follow_each_other(made):
     rows, df = made
     order, seen, after = in_order(rows), [], None

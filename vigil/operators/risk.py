@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -217,6 +218,8 @@ def ranked(predictions: DataFrame) -> DataFrame:
 RANKED = (F.desc_nulls_last, "score"), (F.desc_nulls_last, "prediction_time"), (F.asc_nulls_first, "id")
 #: Rows of a partition of a ranked table.
 RANKED_ROWS = 100_000
+#: Partitions of a ranked table at most: each is a folder that the driver commits and lists.
+RANKED_BLOCKS = 256
 
 
 def placed(predictions: DataFrame) -> DataFrame:
@@ -238,8 +241,12 @@ def prediction_page(
 
 
 def write_ranked(predictions: DataFrame, path: str, rows: int = RANKED_ROWS) -> None:
-    """The ranked list as a table with ``rows`` rows a partition (``block``), for pages at any depth."""
-    blocks = placed(predictions).withColumn("block", F.floor(F.col("position") / rows))
+    """The ranked list as a table with ``rows`` rows a partition (``block``), for pages at any depth.
+
+    A list that would need more than ``RANKED_BLOCKS`` partitions gets that many, with more rows each.
+    """
+    wide = F.greatest(F.lit(rows), F.ceil(F.col("total") / RANKED_BLOCKS))
+    blocks = placed(predictions).withColumn("block", F.floor(F.col("position") / wide))
     dealt = blocks.repartition("block").sortWithinPartitions("block", "position")
     dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("block").parquet(path)
 
@@ -247,7 +254,10 @@ def write_ranked(predictions: DataFrame, path: str, rows: int = RANKED_ROWS) ->
 def ranked_page(spark: SparkSession, path: str, limit: int, offset: int, rows: int = RANKED_ROWS) -> DataFrame:
     """One page of a ranked table; only the partitions it lies in are read."""
     last = offset + limit - 1
-    blocks = spark.read.parquet(path).where(F.col("block").between(offset // rows, last // rows))
+    stored = spark.read.parquet(path)
+    # each row knows how many there are
+    wide = max(rows, math.ceil(stored.select("total").first()["total"] / RANKED_BLOCKS))
+    blocks = stored.where(F.col("block").between(offset // wide, last // wide))
     return blocks.where(F.col("position").between(offset, last)).drop("block").orderBy("position")
 
 

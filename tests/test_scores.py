@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import evaluate as E
 from vigil.operators import model as M
+from vigil.operators import splits as SP
 
 SCHEMA = "channel_id string, g string, y int, p double, w double"
 
@@ -166,6 +167,22 @@ def test_selection_scoring_and_storage(spark, tmp_path):
         M.evaluate_once(splits["test"], chosen, "target_monthly")
 
 
+def test_folds_are_opened_once_for_all_fits(spark):
+    day = F.make_timestamp_ntz(2021 + F.col("channel_id").cast("int") % 3, *[F.lit(n) for n in (3, 1, 0, 0, 0)])
+    rows = model_rows(spark).withColumn("prediction_time", day)
+    rows = rows.withColumn("target_end", F.col("prediction_time") + F.expr("interval 48 hours"))
+    folds = SP.expanding_folds(rows, [2022, 2023], "2021-01-01")
+    features = ["fa", "fb"]
+    found = M.out_of_fold(folds, [2022, 2023], features, "target_monthly", weight="w")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == [*folds.columns, "probability"] and found.count() == 400
+    for year in (2022, 2023):
+        fitted = M.fit(rows.where(F.year("prediction_time") < year), features, "target_monthly", "logistic", "w")
+        alone = M.probability(rows.where(F.year("prediction_time") == year), fitted)
+        gap = M.largest_difference(found.where(F.col("fold") == year), alone, ["channel_id"], "probability").first()
+        assert gap["max_difference"] < 1e-9 and gap["unmatched"] == 0
+
+
 def test_calibration(spark):
     rng = random.Random(4)
     rows = [("a", "x", int(rng.random() < p * 0.5), p, 1.0) for p in [rng.random() for _ in range(900)]]

@@ -17,6 +17,7 @@ from vigil import fixed_values as fv
 from vigil.functions import scalars as S
 from vigil.operators import evaluate as E
 from vigil.operators.contracts import require_columns, validate_features
+from vigil.session import materialize
 
 
 @dataclass
@@ -228,12 +229,20 @@ def out_of_fold(
     kind: str = "logistic",
     weight: str | None = None,
 ) -> DataFrame:
-    """Out-of-fold probabilities: one fit per fold, all folds under one another."""
+    """Out-of-fold probabilities: one fit per fold, all folds under one another.
+
+    The folds are opened once: the inputs of the fits and the rows to score are
+    written, so each pass of a fit reads its few columns and nothing is opened
+    again.
+    """
+    inputs = dict.fromkeys(["fold", *features, label, *([weight] if weight else [])])
+    train = materialize(folds.where(F.col("role") == "train").select(*inputs), "fold-training")
+    held = materialize(folds.where(F.col("role") == "validation"), "fold-validation")
     parts = []
     for year in years:
-        mine = folds.where(F.col("fold") == year)
-        fitted = fit(mine.where(F.col("role") == "train"), features, label, kind, weight)
-        parts.append(probability(mine.where(F.col("role") == "validation"), fitted))
+        mine = F.col("fold") == year
+        fitted = fit(train.where(mine), features, label, kind, weight)
+        parts.append(probability(held.where(mine), fitted))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

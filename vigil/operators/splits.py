@@ -142,9 +142,7 @@ def expanding_folds(
         validates = (t >= first) & (t < after)
         role = F.when(trains, F.lit("train")).when(validates, F.lit("validation"))
         options.append(F.struct(F.lit(year).alias("fold"), role.alias("role")))
-    opened = rows.withColumn(
-        "_fold", F.explode(F.filter(F.array(*options), lambda o: o["role"].isNotNull()))
-    )
+    opened = rows.withColumn("_fold", F.explode(F.array(*options))).where("_fold.role IS NOT NULL")
     return opened.withColumns({"fold": F.col("_fold.fold"), "role": F.col("_fold.role")}).drop(
         "_fold"
     )

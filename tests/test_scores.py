@@ -117,6 +117,21 @@ def test_every_repeat_draws_as_many_channels_as_there_are(spark):
         assert {m: r[m] for m in ("precision", "recall", "f1")} == pytest.approx(drawn_metrics(repeat))
 
 
+def test_draws_are_opened_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(E, "DRAWS", 1000)
+    channels = spark.range(100).select(F.col("id").alias("_index"), F.lit(100).cast("long").alias("_total"))
+    drawn = E.opened_draws(channels, 400, 2026).withColumn("_task", F.spark_partition_id())
+    tasks = drawn.groupBy("_task").count().collect()
+    assert sum(r["count"] for r in tasks) == 100 * 400
+    assert max(r["count"] for r in tasks) < 100 * 400 / 4
+
+
+def test_no_rows_have_no_draws(spark):
+    none = cluster_rows(spark).limit(0)
+    assert E.bootstrap_draws(none, "channel_id", "y", "p", 0.5).count() == 0
+    assert E.cluster_bootstrap(none, "channel_id", "y", "p", 0.5).count() == 0
+
+
 def test_intervals_are_those_of_draws_with_replacement(spark):
     draws = [drawn_metrics(repeat) for repeat in range(1, 401)]
     for r in E.cluster_bootstrap(cluster_rows(spark), "channel_id", "y", "p", 0.5).collect():

@@ -11,8 +11,11 @@ from vigil.functions import scalars as S
 from vigil.operators.ordered import FIRST
 from vigil.operators.quantiles import with_quantiles
 from vigil.operators.ranges import positions, running
+from vigil.session import materialize
 
 EPS = 1e-8
+#: Draws of a bootstrap that one task opens, about.
+DRAWS = 1 << 18
 
 
 def scored(score: Column) -> Column:
@@ -319,6 +322,21 @@ def cluster_counts(df: DataFrame, key: str, label: str, score: str, threshold: f
     )
 
 
+def opened_draws(numbered: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """One draw per channel and repeat: ``repeat`` and the ``_index`` of the channel drawn.
+
+    Channels are few bytes before they open their draws, and adaptive execution
+    would join them in one task; a stated number of partitions stays as it is.
+    """
+    pieces = 1 + numbered.count() * repeats // DRAWS
+    slots = numbered.repartition(pieces, "_index").select(
+        "_index", "_total", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
+    )
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("repeat"), F.col("_index"))
+    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+    return slots.select("repeat", (number % F.col("_total")).alias("_index"))
+
+
 def bootstrap_draws(
     df: DataFrame,
     key: str,
@@ -337,15 +355,11 @@ def bootstrap_draws(
     """
     clusters = cluster_counts(df, key, label, score, threshold)
     order = [F.substring(F.md5("_key"), 1, 3).asc_nulls_last(), F.col("_key").asc_nulls_last()]
-    numbered = positions(clusters, [], order, "_index", "_total")
-    slots = numbered.select(
-        "_index", "_total", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
-    )
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("repeat"), F.col("_index"))
-    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-    drawn = slots.select("repeat", (number % F.col("_total")).alias("_index"))
+    # read by the draws and by the join
+    numbered = materialize(positions(clusters, [], order, "_index", "_total"), "clusters")
     sums = (
-        drawn.join(numbered.select("_index", "tp", "fp", "fn"), "_index")
+        opened_draws(numbered, repeats, seed)
+        .join(numbered.select("_index", "tp", "fp", "fn"), "_index")
         .groupBy("repeat")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     )
